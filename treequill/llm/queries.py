@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, urls
+from . import chat, media, packing, tokens, urls
+from ._cluster import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,28 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.reconstruct(*media.write_store(_table(spark, sf_dir, "documents"))))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(written(packing.cut_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_media": op4_media,
+    "op5_tokens": op5_tokens,
+    "op7_packing": op7_packing,
     "op9_chat": op9_chat,
     "op10_urls": op10_urls,
 }
