@@ -104,3 +104,12 @@ def components(links: DataFrame) -> DataFrame:
         if not roots and not after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             return after.select(F.col("u").alias("id"), F.col("v").alias("component")).union(after.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         edges = after
+
+
+def bitmap(spots: DataFrame, bits: int) -> bytes:
+    """The set of a long column ``spot`` (0 to bits - 1) as a bitmap; bits / 32768 rows of 4 kB reach the driver at most."""
+    buckets = spots.groupBy(F.shiftright("spot", 15).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("spot").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    out = bytearray(bits // 8)
+    for row in buckets.collect():
+        out[row["bucket"] * 4096 : row["bucket"] * 4096 + len(row["bits"])] = row["bits"]
+    return bytes(out)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import pieces, ship, text_bytes, written
+from ._cluster import bitmap, pieces, ship, text_bytes, written
 
 UNIT = 64
 RATE = 8000
@@ -27,7 +27,6 @@ RATE = 8000
 MEAN_BITS, LEAST, MOST = 11, 512, 16384
 #: Bits of the shared-chunk bitmap: 2 MB, whatever the size of the data.
 BITMAP_BITS = 1 << 24
-_BUCKET = 32768
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -92,11 +91,7 @@ def shared_bitmap(counts: DataFrame) -> bytes:
     """The bitmap of a column ``digest``: two bits for each, BITMAP_BITS in all."""
     at = lambda i: F.conv(F.hex(F.substring("digest", i, 3)), 16, 10).cast("long")
     spots = counts.select(F.explode(F.array(at(1), at(9))).alias("spot"))
-    buckets = spots.groupBy(F.shiftright("spot", 15).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("spot").bitwiseAND(F.lit(_BUCKET - 1).cast("long"))).alias("bits"))
-    bitmap = bytearray(BITMAP_BITS // 8)
-    for row in buckets.collect():  # BITMAP_BITS / 32768 rows of 4 kB at most
-        bitmap[row["bucket"] * 4096 : row["bucket"] * 4096 + len(row["bits"])] = row["bits"]
-    return bytes(bitmap)
+    return bitmap(spots, BITMAP_BITS)
 
 
 _PARTS = "array<struct<digest: binary, bytes: binary>>"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, forest, media, near, packing, tokens, urls
+from . import chat, forest, media, near, packing, quality, tokens, urls
 from ._cluster import written
 
 
@@ -44,6 +44,10 @@ def op2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_classes(_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.reconstruct(*media.write_store(_table(spark, sf_dir, "documents"))))
 
@@ -59,6 +63,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
     "op2_near": op2_near,
+    "op3_quality": op3_quality,
     "op4_media": op4_media,
     "op5_tokens": op5_tokens,
     "op7_packing": op7_packing,
