@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, forest, media, near, packing, quality, tokens, urls
+from . import chat, forest, media, mixing, near, packing, quality, tokens, urls
 from ._cluster import written
 
 
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), mixing.domains_of(_table(spark, sf_dir, "labels")))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media": op4_media,
     "op5_tokens": op5_tokens,
     "op7_packing": op7_packing,
+    "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_urls": op10_urls,
 }
