@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, forest, media, mixing, near, packing, quality, tokens, urls
+from . import chat, forest, media, mixing, near, packing, passages, quality, tokens, urls
 from ._cluster import written
 
 
@@ -60,6 +60,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(written(packing.cut_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_media": op4_media,
     "op5_tokens": op5_tokens,
+    "op6_passages": op6_passages,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
