@@ -24,7 +24,7 @@ STEPS = 12
 #: A word is a run of these characters.
 SEPARATOR = "[ \\t\\n\\x0B\\f\\r]+"
 #: Target weights of the domains that the labels define.
-TARGETS = {"clean": 0.97, "noise": 0.01, "toxic": 0.02}
+TARGETS = {"clean": 0.975, "noise": 0.005, "toxic": 0.02}
 _UNIT = 1 << 30
 
 
@@ -91,8 +91,8 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 def fit_rates(base: DataFrame, weights: list[float], total: float | None = None, steps: int = STEPS, tolerance: float = 1e-7) -> Column:
     """The rate of a row of ``base`` (n_tokens, p0, p1, ...) as an expression.
 
-    ``total`` is the number of tokens of the mix; by default the most that can be had with no domain
-    above its tokens.  Weights are scaled to sum to 1.
+    ``total`` is the number of tokens of the mix; by default so many that the domain of the largest weight
+    is used once, neither thinned nor repeated.  Weights are scaled to sum to 1.
     """
     k = len(weights)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -103,7 +103,8 @@ def fit_rates(base: DataFrame, weights: list[float], total: float | None = None,
     whole = sum(weights)
     share = [w / whole for w in weights]
     if total is None:
-        total = min([h / s for h, s in zip(have, share) if h > 0 and s > 0] or [0.0])
+        main = max(range(k), key=lambda i: share[i])
+        total = have[main] / share[main]
     target = [s * total for s in share]
     rate = F.lit(1.0)
     if not sum(have):

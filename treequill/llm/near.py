@@ -42,18 +42,18 @@ def _sets(texts: list[bytes], words: int) -> Iterator[tuple[int, np.ndarray, np.
 
 
 def with_classes(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class, n_shingles) of every row."""
+    """(doc_id, text_key, class, n_shingles) of every row; text_key is Spark's xxhash64 of the text."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
+            texts = text_bytes(batch.column(2))
             for start, ids, off, _ in _sets(texts, words):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), pa.array(ids), pa.array(np.diff(off))], names=["doc_id", "class", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), batch.column(1).slice(start, len(ids)), pa.array(ids), pa.array(np.diff(off))], names=["doc_id", "text_key", "class", "n_shingles"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, class long, n_shingles long")
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_key long, class long, n_shingles long")
 
 
 def _fragments(docs: DataFrame, words: int, fragments: int, text: str) -> DataFrame:
@@ -224,11 +224,12 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, text: s
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class, n_shingles, n_links, component_id) of every row of docs.
+    """(doc_id, text_key, class, group, n_shingles, n_links, component_id) of every row of docs.
 
     Two rows link when ``100 * |A & B| >= percent * |A | B|`` for their sets of ``words``-word shingles (a
     shorter text is one shingle).  Empty sets (null, empty or blank texts) link with nothing; equal sets
-    always link.  n_links counts other linked rows.  component_id is the smallest doc_id reachable;
+    always link.  n_links counts other linked rows; group is null for an
+    empty set, else equal for all rows that can reach one another.  component_id is the smallest doc_id reachable;
     rows with a null id can link, and take part in components as the others do.  Repeated rows link with
     each other.  n-grams are compared by 40 bits within a fragment, classes by 64-bit hashes.
     """
@@ -240,6 +241,21 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc: str
     least = named.where("linked").groupBy("component").agg(F.min("least").alias("component_id"))
     degrees = found.where("b IS NULL").groupBy("a").agg(F.sum("degree").alias("degree")).withColumnRenamed("a", "class")
     known = named.join(least, "component", "left").join(degrees, "class", "left")
-    known = known.select("class", (F.coalesce("degree", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    known = known.select("class", F.col("component").alias("group"), (F.coalesce("degree", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     alone = F.col("class") == 0
-    return classes.join(known, "class", "left").select("doc_id", "class", "n_shingles", F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return classes.join(known, "class", "left").select("doc_id", "text_key", "class", "group", "n_shingles", F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that stay, of the groups in ``found`` = jaccard_classes(docs): the smallest doc_id of each.
+
+    A null id comes last; of rows with one id and text only one stays.  Rows with an empty set all stay.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("first"))
+    stay = first.select(F.xxhash64("first.doc_id", "first.text_key").alias("_row"))
+    alone = found.where("group IS NULL").select(F.xxhash64("doc_id", "text_key").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", F.xxhash64(F.col(doc).cast("long"), F.xxhash64(text)))
+    marked = keyed.join(stay.select("_row", F.lit(True).alias("_once")).union(alone.select("_row", F.lit(False))), "_row")
+    once = marked.where("_once").dropDuplicates(["_row"])
+    return once.union(marked.where("NOT _once")).select(*docs.columns)
