@@ -85,52 +85,69 @@ def _fragments(docs: DataFrame, words: int, fragments: int, text: str) -> DataFr
     return docs.select(F.col(text)).mapInArrow(run, "fragment int, low binary, high binary, classes binary, counts binary")
 
 
-def _shared(key, table):
-    """Of one fragment: (class, n-grams that other classes have too, in how many classes each is)."""
+def _shared(buckets: int):
+    """Of one fragment, by bucket of classes: the n-grams that other classes have too, and in how many each is.
+
+    Frequencies over 255 count as 255: they only order n-grams, alike for all classes.
+    """
     import pyarrow as pa
 
-    load = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
-    fragment = np.uint64(key[0].as_py())
-    gram = (fragment << np.uint64(40)) | (load("high", np.uint8).astype(np.uint64) << np.uint64(32)) | load("low", np.uint32)
-    who = np.repeat(load("classes", np.int64), load("counts", np.int32))
-    order = np.lexsort((who, gram))
-    gram, who = gram[order], who[order]
-    new = np.ones(len(gram), dtype=bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (who[1:] != who[:-1])  # a class may come from several batches
-    gram, who = gram[new], who[new]
-    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    df = np.repeat(sizes := np.diff(starts, append=len(gram)), sizes)
-    several = df > 1
-    gram, who, df = gram[several], who[several], df[several]
-    order = np.argsort(who, kind="stable")
-    gram, who, df = gram[order], who[order], df[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, dtype=np.int64)
-    ends = np.append(first[1:], len(who))
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
-    return pa.table({"class": pa.array(who[first], pa.int64()), "n": pa.array(ends - first, pa.int64()), "grams": cut(gram), "dfs": cut(df.astype(np.int32))})
+    def run(key, table):
+        load = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
+        gram = (load("high", np.uint8).astype(np.uint64) << np.uint64(32)) | load("low", np.uint32)
+        who = np.repeat(load("classes", np.int64), load("counts", np.int32))
+        order = np.lexsort((who, gram))
+        gram, who = gram[order], who[order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (who[1:] != who[:-1])  # a class may come from several batches
+        gram, who = gram[new], who[new]
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        df = np.repeat(sizes := np.diff(starts, append=len(gram)), sizes)
+        several = df > 1
+        gram, who, df = gram[several], who[several], np.minimum(df[several], 255).astype(np.uint8)
+        bucket = who % buckets
+        order = np.lexsort((gram, who, bucket))
+        gram, who, df, bucket = gram[order], who[order], df[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows: list[list] = [[], [], [], [], [], []]
+        for k in np.flatnonzero(np.diff(edges)):
+            at = slice(edges[k], edges[k + 1])
+            first = np.flatnonzero(np.concatenate([[True], who[at][1:] != who[at][:-1]]))
+            counts = np.diff(first, append=edges[k + 1] - edges[k]).astype(np.int32)
+            for column, x in zip(rows, (int(k), who[at][first].tobytes(), counts.tobytes(), gram[at].astype(np.uint32).tobytes(), (gram[at] >> np.uint64(32)).astype(np.uint8).tobytes(), df[at].tobytes())):
+                column.append(x)
+        return pa.table({"bucket": pa.array(rows[0], pa.int32()), "fragment": pa.array([key[0].as_py()] * len(rows[0]), pa.int32())} | {n: pa.array(c, pa.binary()) for n, c in zip(("classes", "counts", "low", "high", "dfs"), rows[1:])})
+
+    return run
 
 
 def _prefixes(percent: int):
-    """Keeps a class if its shared n-grams can reach the threshold; adds its prefix, by rising frequency."""
+    """Of one bucket: the classes whose shared n-grams, summed over fragments, can reach the threshold.
+
+    Each comes with its shared n-grams and its prefix of them, by rising frequency.
+    """
     import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for cls, n, parts, rows in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                gram = np.concatenate([np.frombuffer(p["grams"], dtype=np.uint64) for p in parts])
-                df = np.concatenate([np.frombuffer(p["dfs"], dtype=np.int32) for p in parts])
-                need = -(-percent * n // 100)
-                prefix = len(gram) - need + 1  # n-grams of this class alone come first and are gone
-                if prefix <= 0:
-                    continue
-                order = np.lexsort((gram, df))
-                out[0].append(cls)
-                out[1].append(n)
-                out[2].append(np.sort(gram).tobytes())
-                out[3].append(gram[order[:prefix]].view(np.int64).tolist())
-                out[4].append(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.int64())], names=["class", "n", "grams", "prefix", "rows"])
+    def run(key, packed, sizes):
+        classes = sizes.column("class").to_numpy()
+        by_class = np.argsort(classes)
+        out: list[list] = [[], [], [], [], []]
+        parts = list(zip(*[packed.column(n).to_pylist() for n in ("fragment", "classes", "counts", "low", "high", "dfs")]))
+        if parts:
+            who = np.concatenate([np.repeat(np.frombuffer(c, np.int64), np.frombuffer(n, np.int32)) for _, c, n, *_ in parts])
+            gram = np.concatenate([(np.uint64(f) << np.uint64(40)) | (np.frombuffer(h, np.uint8).astype(np.uint64) << np.uint64(32)) | np.frombuffer(low, np.uint32) for f, _, _, low, h, _ in parts])
+            df = np.concatenate([np.frombuffer(d, np.uint8) for *_, d in parts])
+            order = np.lexsort((gram, df, who))
+            who, gram = who[order], gram[order]
+            starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            found = by_class[np.searchsorted(classes[by_class], who[starts])]
+            n_of, rows_of = sizes.column("size").to_numpy()[found], sizes.column("rows").to_numpy()[found]
+            for start, end, n, rows in zip(starts.tolist(), [*starts[1:].tolist(), len(who)], n_of.tolist(), rows_of.tolist()):
+                prefix = end - start - -(-percent * n // 100) + 1  # n-grams of this class alone come first and are gone
+                if prefix > 0:
+                    for column, x in zip(out, (int(who[start]), n, np.sort(gram[start:end]).tobytes(), gram[start : start + prefix].view(np.int64).tolist(), rows)):
+                        column.append(x)
+        return pa.table({"class": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "grams": pa.array(out[2], pa.binary()), "prefix": pa.array(out[3], pa.list_(pa.int64())), "rows": pa.array(out[4], pa.int64())})
 
     return run
 
@@ -207,11 +224,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, text: s
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(partitions(spark), -(-total // PER_FRAGMENT))
     packed = _fragments(docs, words, fragments, text)
-    shared = packed.repartition(fragments, "fragment").groupBy("fragment").applyInArrow(_shared, "class long, n long, grams binary, dfs binary")
+    buckets = partitions(spark)
+    shared = packed.repartition(fragments, "fragment").groupBy("fragment").applyInArrow(_shared(buckets), "bucket int, fragment int, classes binary, counts binary, low binary, high binary, dfs binary")
     sizes = classes.groupBy("class").agg(F.first("n_shingles").alias("size"), F.count("*").alias("rows"))
-    enough = shared.groupBy("class").agg(F.sum("n").alias("shared"), F.collect_list(F.struct("grams", "dfs")).alias("parts"))
-    kept = enough.join(sizes, "class").where(F.col("shared") * 100 >= F.col("size") * percent).select("class", F.col("size").alias("n"), "parts", "rows")
-    rest = written(kept.mapInArrow(_prefixes(percent), "class long, n long, grams binary, prefix array<long>, rows long"))
+    sizes = sizes.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
+    rest = written(shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(_prefixes(percent), "class long, n long, grams binary, prefix array<long>, rows long"))
     postings = rest.select("class", F.explode("prefix").alias("gram"))
     firsts = postings.groupBy("gram").agg(F.min("class").alias("least"), F.count("*").alias("m")).where("m > 1")
     groups = components(postings.join(firsts, "gram").select(F.col("class").alias("a"), F.col("least").alias("b")))
