@@ -131,38 +131,35 @@ def _compare(threshold: float):
         cls, rows = table.column("class").to_numpy(), table.column("rows").to_numpy()
         x = _matrix(table.column("unit"))
         lists = table.column("nodes").to_pylist()
-        member = np.full((len(cls), max(map(len, lists))), np.iinfo(np.int64).max)
-        for i, nodes in enumerate(lists):
-            member[i, : len(nodes)] = nodes
-        i, j = np.nonzero(x[a] @ x[b].T >= threshold) if len(a) and len(b) else (np.zeros(0, dtype=np.int64),) * 2
-        i, j = a[i], b[j]
+        linked = x[a] @ x[b].T >= threshold
+        # a pair is counted in the first leaf that both have: not here, if they share one before this
+        owner = np.repeat(np.arange(len(lists)), [len(n) for n in lists])
+        nodes = np.fromiter((n for ns in lists for n in ns), dtype=np.int64, count=len(owner))
+        before = nodes < node
+        names, place = np.unique(nodes[before], return_inverse=True)
+        for s in range(0, len(names), 1024):
+            part = (place >= s) & (place < s + 1024)
+            has = np.zeros((len(lists), 1024), dtype=np.float32)
+            has[owner[before][part], place[part] - s] = 1
+            linked &= has[a] @ has[b].T == 0
         if not two:
-            i, j = i[i < j], j[i < j]
-        mine = np.zeros(len(i), dtype=bool)
-        for s in range(0, len(i), 8192):
-            p, q = member[i[s : s + 8192]], member[j[s : s + 8192]]
-            both = (p[:, :, None] == q[:, None, :]).any(axis=2) & (p != np.iinfo(np.int64).max)
-            mine[s : s + 8192] = np.where(both, p, np.iinfo(np.int64).max).min(axis=1) == node
-        i, j = i[mine], j[mine]
+            np.fill_diagonal(linked, False)
         degree = np.zeros(len(cls), dtype=np.int64)
-        np.add.at(degree, i, rows[j])
-        np.add.at(degree, j, rows[i])
-        parent = list(range(len(cls)))
-
-        def find(v: int) -> int:
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        pairs = []
-        for p, q in zip(i.tolist(), j.tolist()):
-            r, s = find(p), find(q)
-            if r != s:
-                parent[max(r, s)] = min(r, s)
-                pairs.append((cls[p], cls[q]))
-        linked = np.flatnonzero(degree)
-        return pa.table({"a": pa.array([p for p, _ in pairs] + cls[linked].tolist(), pa.int64()), "b": pa.array([q for _, q in pairs] + [None] * len(linked), pa.int64()), "degree": pa.array([0] * len(pairs) + degree[linked].tolist(), pa.int64())})
+        degree[a] += linked @ rows[b]
+        if two:
+            degree[b] += linked.T @ rows[a]
+        # the least place reachable within the block, by rounds of taking the least of all neighbours
+        label, none = np.arange(len(cls)), len(cls)
+        while True:
+            old = label.copy()
+            label[a] = np.minimum(label[a], np.where(linked, label[b][None, :], none).min(axis=1, initial=none))
+            label[b] = np.minimum(label[b], np.where(linked, label[a][:, None], none).min(axis=0, initial=none))
+            label = label[label]
+            if (label == old).all():
+                break
+        joined = np.flatnonzero(label != np.arange(len(cls)))
+        some = np.flatnonzero(degree)
+        return pa.table({"a": pa.array(np.concatenate([cls[joined], cls[some]]), pa.int64()), "b": pa.array(cls[label[joined]].tolist() + [None] * len(some), pa.int64()), "degree": pa.array(np.concatenate([np.zeros(len(joined), dtype=np.int64), degree[some]]), pa.int64())})
 
     return run
 
