@@ -1,0 +1 @@
+"""Built-in functions, and the registry that user functions join."""
