@@ -119,16 +119,13 @@ def complete(query: str, schema: T.DataType, point: int | None = None, constants
         out += [Candidate(f, "function", start, len(word), SIGNATURES.get(f, f)) for f in dict.fromkeys([*SIGNATURES, *env.functions]) if matches(f)]
     if options.sort:
         out.sort(key=lambda c: c.text)
-    out = out[: options.limit]
-    if options.show_wildcard_hints and not in_path:
-        hints = _hints(query)
-        out += [Candidate(h, "hint", 0, len(query)) for h in hints]
-    return out[: options.limit] if not options.show_wildcard_hints else out[: max(options.limit, len(out) if len(out) <= options.limit else options.limit)]
+    hints = [Candidate(h, "hint", 0, len(query)) for h in _hints(query)] if options.show_wildcard_hints and not in_path else []
+    return [*out[: max(options.limit - len(hints), 0)], *hints][: options.limit]
 
 
 def _context(before: str, schema: T.DataType, in_path: bool) -> list[T.DataType]:
     """Types that a field at this place is looked up in: the innermost brackets' subject, then the path's left side."""
-    depth, at, subject = 0, len(before), [schema]
+    subject = [schema]
     openers: list[int] = []
     for i, c in enumerate(before):
         if c in "([{":
@@ -139,7 +136,6 @@ def _context(before: str, schema: T.DataType, in_path: bool) -> list[T.DataType]
         if before[i] == "{" or (before[i] == "(" and before[:i].rstrip().endswith(".")):
             left = _operand(before[:i].rstrip().rstrip(".") if before[i] == "(" else before[:i].rstrip(". "))
             subject = _type_of(left, subject)
-    del depth, at
     if not in_path:
         return subject
     inner = before[openers[-1] + 1 :] if openers else before
