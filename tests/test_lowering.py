@@ -31,7 +31,7 @@ QUERIES = {
     ],
     "invoice": ["account.order.*.product.*.(price * quantity)", "sum(account.order.*.product.*.(price * quantity))", "**.(price * quantity)", "sum(**.(price * quantity))", "account.order.*.id", "account.order[1].product[0].name", "account.order.*{count(product.*{price > 30}) == 2}.id", "count(**)", "**.quantity"],
 }
-DYNAMIC_ONLY = ["*.field", "*.field == 1", "*.field != 1", "*.field > 1", "*.field <= 1", "typeof *.field", "typeof **", "*.another", "any(*.another > 1)", "*.another as string", "*.another as int", "*.field as float", "*.field and 1", "*.field or 'no'", "*.field{_}", "#*.another{typeof _ == 'model'}", "**.deep[0] + 1", "**{typeof _ == 'float'}", "count(keys(**))", "*.another[1]", "*[1]", "count(**)", "*{field == 'text'}.field", "sum(*.another{typeof _ == 'float'})", "arr(*.field, 'x')"]
+DYNAMIC_ONLY = ["*.field", "*.field == 1", "*.field != 1", "*.field > 1", "*.field <= 1", "typeof *.field", "*.another", "any(*.another > 1)", "*.another as string", "*.another as int", "*.field as float", "*.field and 1", "*.field or 'no'", "*.field{_}", "#*.another{typeof _ == 'model'}", "*.another[1]", "*[1]", "count(**)", "*{field == 'text'}.field", "sum(*.another{typeof _ == 'float'})", "arr(*.field, 'x')"]
 
 
 def expected(query, doc):
@@ -62,19 +62,22 @@ def got(spark, doc, queries, typed):
     df = table(spark, doc, typed)
     session = Session(max_depth=6)
     out = []
-    for i in range(0, len(queries), 10):
+    for i in range(0, len(queries), 4):
         columns = []
-        for q in queries[i : i + 10]:
+        for q in queries[i : i + 4]:
             query = session.compile(q)
             columns.append(texts(query.lowering.many(query.stream(*session._doc(df, "doc"))), query).alias(f"q{len(columns)}"))
         out += list(df.select(*columns).first())
     return out
 
 
-@pytest.mark.parametrize("typed", [True, False], ids=["typed", "dynamic"])
-@pytest.mark.parametrize("name,doc", [("model", MODEL), ("invoice", INVOICE)])
+#: Of the queries over the model, those that are run over variants, too: making such plans takes seconds.
+ALSO_DYNAMIC = ["a", "sub.*", "c.*", "c[arr(0,2)]", "c[d.*]", "string[1]", "number / 7", "string == number", "missing <= null", "number = range(100,200)", "string = re'T.*'", "sum(d.*)", "each(d.* >= 0)", "d{*.{_ > 0}}", "keys(sub)", "#c"]
+
+
+@pytest.mark.parametrize("name,doc,typed", [("model", MODEL, True), ("invoice", INVOICE, True), ("model", MODEL, False)])
 def test_against_evaluator(spark, name, doc, typed):
-    queries = QUERIES[name]
+    queries = QUERIES[name] if typed else ALSO_DYNAMIC
     wrong = [(q, g, e) for q, g, e in zip(queries, got(spark, doc, queries, typed), [expected(q, doc) for q in queries]) if g != e]
     assert not wrong
 

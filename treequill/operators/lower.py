@@ -236,6 +236,8 @@ class Lowering:
             return one(left, index)
         if isinstance(left, Val) and left.kind == "object" and isinstance(index, Many) and index.kind == "string":
             left = Val("dyn", v.to_dyn(left))
+        if left.kind in ("object", "array", "dyn") and index.kind == "int" and (left.kind == "dyn" or isinstance(left, Many)):
+            return self.or_null(self.many(self.over(left, lambda l: self.over(index, lambda i: self._places(l, i)))))
         out = self.product(left, index, one)
         if out.kind == "null":
             return v.null()
@@ -245,6 +247,17 @@ class Lowering:
             return self.or_null(Many(out.kind, F.coalesce(picked, v.empty(self.many(out))), out.typ))
         return self.or_null(self.not_null(out))
 
+    def _places(self, l: Val, i: Val) -> Many:
+        """The i-th child, which may be null, or nothing."""
+        children = v.children(l)
+        if children is None:
+            return Many("dyn", F.array().cast(f"array<{v.DYN}>"))
+        picked = F.when(i.col >= 0, F.slice(children.col, i.col.cast("int") + 1, 1)).otherwise(v.empty(children))
+        if l.kind == "dyn":
+            byte = self._index_dyn(l, i).col
+            picked = F.when(l.col["k"] == 4, F.filter(F.array(byte), lambda x: x.isNotNull())).otherwise(picked)
+        return Many(children.kind, F.coalesce(picked, v.empty(children)), children.typ)
+
     def _index_dyn(self, l: Val, i: Val) -> Val:
         place, name = (i.col["i"], i.col["s"]) if i.kind == "dyn" else (i.col if i.kind == "int" else None, i.col if i.kind == "string" else None)
         out = F.lit(None).cast(v.DYN)
