@@ -63,6 +63,20 @@ def test_perplexity_equals_brute_force(spark):
         assert found[i] >= expected * (1 - 1e-6) if clipped else found[i] == pytest.approx(expected, rel=1e-6)
 
 
+def test_long_documents_score_like_short_ones(spark):
+    from treequill.llm._cluster import ship, written
+
+    ship(spark)
+    texts = [" ".join(random.Random(i).choices([f"w{k}" for k in range(20)], k=200)) for i in range(20)]
+    model, constants = quality.kneser_ney(written(quality.count_bigrams(spark.createDataFrame([(t,) for t in texts], "text string"))))
+    long = " ".join(texts * 5)  # 20 000 words, each about 1 000 times
+    p = brute_kneser_ney(texts, quality.MIN_COUNT)
+    w = ["<s>", *words_of(long), "</s>"]
+    expected = math.exp(-sum(math.log(p(a, b)) for a, b in zip(w, w[1:])) / (len(w) - 1))
+    rows = spark.createDataFrame([(0, long)], "text_key long, text string")
+    assert quality.perplexities(rows, model, constants).first()["perplexity"] == pytest.approx(expected, rel=1e-6)
+
+
 def labelled(seed=3, n=300):
     rng = random.Random(seed)
     good = [f"good{i}" for i in range(40)]

@@ -120,6 +120,17 @@ def _keyed(model: DataFrame) -> DataFrame:
     return model.mapInArrow(run, "key long, weight double")
 
 
+def _short(times: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as a byte each; of those that 255 stands for, the counts themselves."""
+    return np.minimum(times, 255).astype(np.uint8).tobytes(), times[times >= 255].astype(np.uint32).tobytes()
+
+
+def _long(times: bytes, more: bytes) -> np.ndarray:
+    out = np.frombuffer(times, dtype=np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(more, dtype=np.uint32)
+    return out
+
+
 def _packed(docs: DataFrame, shards: int, known) -> DataFrame:
     """Counts of the n-grams that the model may have, by piece (a run of documents of one task) and shard."""
     import pyarrow as pa
@@ -149,22 +160,22 @@ def _packed(docs: DataFrame, shards: int, known) -> DataFrame:
                 times = np.diff(at, append=len(key))
                 who, key, is_pair, shard = who[at], key[at], is_pair[at], shard[at].astype(np.int64)
                 most = SPARE + total[who] * np.where(is_pair, PAIR_SHARE, WORD_SHARE)
-                times = np.minimum(np.minimum(times, np.floor(most)), 65535).astype(np.uint16)
+                times = np.minimum(times, np.floor(most)).astype(np.uint32)
                 edges = np.searchsorted(shard, np.arange(shards + 1))
                 home = piece % shards
-                rows: list[list] = [[], [], [], [], [], [], []]
+                rows: list[list] = [[] for _ in range(8)]
                 for s in range(shards):
                     a, b = edges[s], edges[s + 1]
                     if a == b and s != home:
                         continue
                     meta = (text_keys[start:end].tobytes(), total.astype(np.int64).tobytes()) if s == home else (None, None)
-                    values = (s, piece, key[a:b].astype(np.uint32).tobytes(), np.minimum(times[a:b], 255).astype(np.uint8).tobytes(), np.bincount(who[a:b], minlength=n).astype(np.uint16).tobytes(), *meta)
+                    values = (s, piece, key[a:b].astype(np.uint32).tobytes(), *_short(times[a:b]), np.bincount(who[a:b], minlength=n).astype(np.uint32).tobytes(), *meta)
                     for column, x in zip(rows, values):
                         column.append(x)
                 piece += 1
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(c, pa.binary()) for c in rows[2:]]], names=["shard", "piece", "keys", "times", "counts", "text_keys", "totals"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(c, pa.binary()) for c in rows[2:]]], names=["shard", "piece", "keys", "times", "more", "counts", "text_keys", "totals"])
 
-    return docs.mapInArrow(run, "shard int, piece long, keys binary, times binary, counts binary, text_keys binary, totals binary")
+    return docs.mapInArrow(run, "shard int, piece long, keys binary, times binary, more binary, counts binary, text_keys binary, totals binary")
 
 
 def _join_shard(key, packed, model):
@@ -176,13 +187,13 @@ def _join_shard(key, packed, model):
     order = np.argsort(low, kind="stable")
     low, weight = low[order], model.column("weight").to_numpy()[order]
     sums = []
-    for keys, times, counts in zip(packed.column("keys").to_pylist(), packed.column("times").to_pylist(), packed.column("counts").to_pylist()):
+    for keys, times, more, counts in zip(*[packed.column(c).to_pylist() for c in ("keys", "times", "more", "counts")]):
         asked = np.frombuffer(keys, dtype=np.uint32)
-        counts_ = np.frombuffer(counts, dtype=np.uint16).astype(np.int64)
+        counts_ = np.frombuffer(counts, dtype=np.uint32).astype(np.int64)
         value = np.zeros(len(asked))
         if len(low):
             at = np.minimum(np.searchsorted(low, asked), len(low) - 1)
-            value = np.where(low[at] == asked, weight[at], 0.0) * np.frombuffer(times, dtype=np.uint8)
+            value = np.where(low[at] == asked, weight[at], 0.0) * _long(times, more)
         sums.append(np.bincount(np.repeat(np.arange(len(counts_)), counts_), weights=value, minlength=len(counts_)).tobytes())
     return pa.table({"piece": packed.column("piece"), "sums": pa.array(sums, pa.binary()), "text_keys": packed.column("text_keys"), "totals": packed.column("totals")})
 
