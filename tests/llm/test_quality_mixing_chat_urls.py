@@ -77,6 +77,16 @@ def test_long_documents_score_like_short_ones(spark):
     assert quality.perplexities(rows, model, constants).first()["perplexity"] == pytest.approx(expected, rel=1e-6)
 
 
+def test_model_counts_every_trusted_document_of_its_fold(spark, monkeypatch):
+    n = 30_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    monkeypatch.setattr(quality, "kneser_ney", lambda bigrams, least, fit=quality.kneser_ney: seen.append(bigrams.agg(F.sum("n")).first()[0]) or fit(bigrams, least))
+    quality.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    fold = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2)) == 0).count()
+    assert fold > 12_000 and seen == [2 * fold]  # a start and an end for each text of one word
+
+
 def labelled(seed=3, n=300):
     rng = random.Random(seed)
     good = [f"good{i}" for i in range(40)]

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from . import _text
 from ._cluster import bitmap, partitions, pieces, ship, text_bytes, written
 
-#: Trusted documents that the model is fitted on at most (the smallest by hash of the training fold).
-MAX_TRUSTED = 12_000
 #: Bigrams seen less often give their whole mass to the lower order.
 MIN_COUNT = 2
 #: Part of the held-out trusted documents of a language that may lie above the threshold.
@@ -226,12 +224,28 @@ def perplexities(texts: DataFrame, model: DataFrame, constants: dict[str, float]
     return scores.dropDuplicates(["text_key"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, quantile: float = QUANTILE, min_count: int = MIN_COUNT) -> DataFrame:
+def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) that a bitmap of ``ids`` does not exclude, so that a join need not deal the others."""
+    import pyarrow as pa
+
+    spot = F.xxhash64("doc_id").bitwiseAND(F.lit(BITS - 1)).alias("spot")
+    known = rows.sparkSession.sparkContext.broadcast(bitmap(ids.select(spot), BITS))
+
+    def run(batches: Iterator) -> Iterator:
+        bits = np.frombuffer(known.value, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            yield batch.select([1, 2]).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.select(spot, "doc_id", "text").mapInArrow(run, "doc_id long, text string")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, lang, text_key, n_words, perplexity, threshold, kept) of every row of docs.
 
     Trusted are documents that ``labels`` (doc_id, quality, toxic) calls quality 1 and not toxic.  Half of
-    them by hash, at most ``max_trusted``, train the model; the others set the thresholds, by language, and
-    for all languages together where a language (or a null one) has none.  Texts without words (null,
+    them by hash train the model; the others set the thresholds, by language, and for all languages
+    together where a language (or a null one) has none.  Texts without words (null,
     empty, blank) are rejected.  Without trusted documents nothing else is.  Ties with the threshold are
     kept; repeated rows are judged alike.
     """
@@ -239,8 +253,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED,
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("dice", F.xxhash64("doc_id", F.lit("trusted")))
-    train = trusted.where(F.pmod("dice", F.lit(2)) == 0).orderBy("dice", "doc_id").limit(max_trusted).select("doc_id")
-    chosen = rows.select("doc_id", "text").join(F.broadcast(train), "doc_id", "left_semi").select("text")  # max_trusted ids at most
+    train = trusted.where(F.pmod("dice", F.lit(2)) == 0).select("doc_id")
+    chosen = _maybe_in(rows.select("doc_id", "text"), train).join(train, "doc_id", "left_semi").select("text")
     model, constants = kneser_ney(written(count_bigrams(chosen)), min_count)
     scores = perplexities(rows.select(F.xxhash64("text").alias("text_key"), "text"), model, constants)
     scored = written(rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key")).join(scores, "text_key"))
