@@ -167,3 +167,11 @@ def test_urls(spark):
     assert (got[902]["host"], got[902]["path"], got[902]["rule"], got[902]["verdict"]) == ("www.example.org", "/es/x", "example.org/es/", "block")
     assert [got[i]["rule"] for i in (900, 901, 903, 904, 905, 906, 907, 908)] == [None, None, None, "com/fr/", "com/de/", None, "org/", None]
     assert got[906]["verdict"] == "block" and got[900]["verdict"] == "allow" and got[908]["path"] == ""
+
+
+def test_urls_with_a_late_marker(spark):
+    marked = lambda i: {0: f"/en/2024/casino-win/{i}", 1: f"/en/2024/a{i}/b/casino-win", 2: f"/en/2024/{i}.exe", 3: f"/en/2024/{i}?to=casino&n={i}"}[i // 4 % 4]
+    pages = [(i, f"https://www.fine{i % 7}.info{marked(i) if i % 4 == 0 else f'/en/2024/news/{i}.html?to=home&n={i}'}") for i in range(400)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(400)]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] % 4 == 0 else "allow") for r in got)

@@ -41,16 +41,22 @@ def site_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = SIT
 
 
 def with_tokens(pages: DataFrame) -> DataFrame:
-    """Adds the set of items of a url: its host, parent domain, first two path parts, ending and query keys."""
+    """Adds the set of items of a url: its host, parent domain, path parts (with and without their place), file ending, query keys and pairs."""
     labels = F.split("host", r"\.")
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     word = lambda x: F.when(x.rlike(r"^[0-9]+"), F.regexp_replace(x, r"[0-9]+", "#")).otherwise(x)
     query = F.regexp_extract(F.col("url"), r"\?([^#]*)", 1)
-    keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1)))
+    fields = F.filter(F.split(query, "&"), lambda x: x != "")
+    keys = F.transform(fields, lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1)))
+    pairs = F.transform(F.filter(fields, lambda x: F.instr(x, "=") > 0), lambda x: F.concat(F.lit("pair:"), F.substring_index(x, "=", 1), F.lit("="), word(F.substr(x, F.instr(x, "=") + 1))))
+    ending = F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)
     items = F.concat(
         F.array(F.concat(F.lit("host:"), F.col("host")), F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))),
-        F.transform(F.slice(parts, 1, 2), lambda x, i: F.concat(F.lit("part"), i.cast("string"), F.lit(":"), word(x))),
+        F.transform(parts, lambda x, i: F.concat(F.lit("part"), i.cast("string"), F.lit(":"), word(x))),
+        F.transform(parts, lambda x: F.concat(F.lit("part:"), word(x))),
+        F.when(ending != "", F.array(F.concat(F.lit("ending:"), ending))).otherwise(F.array().cast("array<string>")),
         keys,
+        pairs,
     )
     return pages.withColumn("tokens", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(items)))
 
