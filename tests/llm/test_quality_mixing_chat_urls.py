@@ -133,6 +133,14 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(d.limit(0), domains, targets).count() == 0
 
 
+def test_mix_meets_targets_of_a_scarce_domain(spark):
+    rows = [(1000, 0.99, 0.01)] * 50 + [(1000, 0.01, 0.99)]
+    base = spark.createDataFrame(rows, "n_tokens long, p0 double, p1 double")
+    rated = base.withColumn("rate", mixing.fit_rates(base, [0.7, 0.3])).collect()
+    sums = [sum(r["n_tokens"] * r["rate"] * r[p] for r in rated) for p in ("p0", "p1")]
+    assert sums[1] / sum(sums) == pytest.approx(0.3, abs=1e-4)
+
+
 CHAT = [(1, 0, "user", "a<b \\ c"), (1, 1, "user", "</turn>\n<sep/>"), (1, 2, "assistant", "x\\l"), (1, 3, "assistant", ""), (1, 4, "user", None), (2, 5, "assistant", "only"), (3, None, None, "no role"), (3, 1, "ro\nle<", "t"), (None, 0, "assistant", "é🙂"), (2, 5, "assistant", "only")]
 
 

@@ -21,7 +21,7 @@ MAX_LABELLED, MAX_WORDS = 6_000, 2_000
 #: A word counts if so many labelled documents have it.
 LEAST_DOCUMENTS = 5
 STEPS = 40
-#: A document is used so often at most: a domain with too little text would else be a few documents many times.
+#: A bound on rates for callers that set one (``most``); by default rates have none, so that targets are met.
 MOST = 4.0
 #: A word is a run of these characters.
 SEPARATOR = "[ \\t\\n\\x0B\\f\\r]+"
@@ -90,12 +90,12 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] for i in range(n)]
 
 
-def fit_rates(base: DataFrame, weights: list[float], total: float | None = None, steps: int = STEPS, tolerance: float = 1e-7, most: float = MOST) -> Column:
+def fit_rates(base: DataFrame, weights: list[float], total: float | None = None, steps: int = STEPS, tolerance: float = 1e-7, most: float | None = None) -> Column:
     """The rate of a row of ``base`` (n_tokens, p0, p1, ...) as an expression.
 
     ``total`` is the number of tokens of the mix; by default so many that the domain of the largest weight
     is used once, neither thinned nor repeated.  Weights are scaled to sum to 1.  Rates are projected onto
-    0 to ``most``; where targets can't be met so, the steps end at the nearest that can.
+    0 and above, or 0 to ``most``; where targets can't be met so, the steps end at the nearest that can.
     """
     k = len(weights)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -115,7 +115,8 @@ def fit_rates(base: DataFrame, weights: list[float], total: float | None = None,
     reached, done = have, 0
     while done < steps and max(abs(r - t) for r, t in zip(reached, target)) > tolerance * max(total, 1.0):
         step = _solve(gram, [r - t for r, t in zip(reached, target)])
-        rate = F.least(F.lit(most), F.greatest(F.lit(0.0), rate - sum((p[i] * step[i] for i in range(k)), F.lit(0.0))))
+        rate = F.greatest(F.lit(0.0), rate - sum((p[i] * step[i] for i in range(k)), F.lit(0.0)))
+        rate = rate if most is None else F.least(F.lit(most), rate)
         row = base.agg(*[F.sum(n * p[i] * rate) for i in range(k)]).first()
         before, reached, done = reached, [x or 0.0 for x in row], done + 1
         if max(abs(r - b) for r, b in zip(reached, before)) <= tolerance * max(total, 1.0):
