@@ -143,3 +143,15 @@ def test_repacking_partitions_with_gaps(spark):
     assert sorted((r["doc_id"], r["length"]) for r in got) == rows
     alone = len(np.unique(packing.best_fit_decreasing(np.array([s for _, s in rows]), 2048)))
     assert _check(got, 2048) <= alone + 6
+
+
+def test_store_is_written_and_repeats_within_a_document_are_stored_once(spark):
+    import random
+
+    from treequill.llm import media
+
+    body = "".join(random.Random(5).choices("abcdefghijklmnop ", k=60_000))
+    records, shared = media.write_store(spark.createDataFrame([(1, body + body)], "doc_id long, text string"))
+    assert records.inputFiles() and shared.inputFiles()
+    assert shared.count() > 5
+    assert media.read_media(media.reconstruct(records, shared)).first()["n_bytes"] == 120_000

@@ -1,8 +1,8 @@
 """Media columns: payloads kept losslessly as 8-bit samples in a content-addressed chunk store.
 
 A payload is stored as the sample block of a mono 8-bit PCM WAV file.  A rolling gear hash cuts it into
-chunks, so that equal passages give equal chunks wherever they stand.  Chunks that more than one document
-has are stored once, under their digest; chunks of a single document stay in its record.  Which are
+chunks, so that equal passages give equal chunks wherever they stand.  Chunks that occur more
+than once are stored once, under their digest; the others stay in their record.  Which are
 shared is found by a join of digest counts; a bitmap of fixed size tells the writing pass which chunks
 may be shared, and its false positives only move a private chunk into the shared table.  Reading back
 joins each record's ordered chunk list with the shared table and checks every digest.
@@ -101,7 +101,7 @@ def write_store(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tup
     """(records, shared) of all documents; null texts are empty, repeated rows and null ids keep records of their own.
 
     records: doc_id, n_bytes, payload_bytes, parts: array of (digest, zlib bytes or null) in order.
-    shared: digest, zlib bytes; a chunk that two or more documents have is there once.
+    shared: digest, zlib bytes; a chunk that occurs twice or more is there once.  Both are written.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -111,7 +111,7 @@ def write_store(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tup
         import pyarrow as pa
 
         for batch in batches:
-            out = [d for t in text_bytes(batch.column(0)) for d in {digest(c) for c in chunks(payload(t))}]
+            out = [d for t in text_bytes(batch.column(0)) for d in map(digest, chunks(payload(t)))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["digest"])
 
     counts = rows.select("text").mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
@@ -145,13 +145,13 @@ def write_store(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tup
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([len(t) for t in texts[start:end]], pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, kind)], names=["doc_id", "n_bytes", "payload_bytes", "parts"])
 
     shared = rows.select("text").mapInArrow(shared_bytes, "digest binary, bytes binary").dropDuplicates(["digest"])
-    return rows.mapInArrow(recorded, f"doc_id long, n_bytes long, payload_bytes long, parts {_PARTS}"), shared
+    return written(rows.mapInArrow(recorded, f"doc_id long, n_bytes long, payload_bytes long, parts {_PARTS}")), written(shared)
 
 
 def reconstruct(records: DataFrame, shared: DataFrame) -> DataFrame:
     """Records whose parts all have their bytes, in order.
 
-    Complete records pass as they are, without a shuffle; the others are written, their missing chunks
+    Complete records pass as they are read, without a shuffle; the others get row numbers, their missing chunks
     are joined by digest, and each is put together again under a row number of its own.
     """
     lacks = F.exists("parts", lambda p: p["bytes"].isNull())
