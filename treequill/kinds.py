@@ -61,8 +61,12 @@ class Multimap(list):
     """An object that may have a name more than once: a list of (name, value)."""
 
 
+#: Bytes that are printed as an escape of their own.
+BYTE_ESCAPES = {34: '\\"', 92: "\\\\", 9: "\\t", 10: "\\n", 13: "\\r"}
+
+
 def bytes_literal(b: bytes) -> str:
-    return 'b"' + "".join(chr(c) if 32 <= c < 127 and c not in (34, 92) else f"\\x{c:02x}" for c in b) + '"'
+    return 'b"' + "".join(BYTE_ESCAPES.get(c) or (chr(c) if 32 <= c < 127 else f"\\x{c:02X}") for c in b) + '"'
 
 
 def be_int(b: bytes) -> int | None:

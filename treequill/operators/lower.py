@@ -220,7 +220,7 @@ class Lowering:
                     return Val("string", F.when(l.col.isNotNull(), self.kernels.error("A string is subscripted by int", "string")))
                 at = i.col if i.kind == "int" else i.col["i"]
                 inside = (at >= 0) & (at < F.octet_length(l.col))
-                return Val("string", F.when(inside, F.decode(F.substring(F.encode(l.col, "utf-8"), at.cast("int") + 1, 1), "utf-8")))
+                return Val("string", F.when(inside, v.byte_at(l.col, at)))
             if l.kind == "array" and i.kind == "int":
                 return v.val_of(F.get(l.col, F.when(i.col >= 0, i.col.cast("int"))), l.typ.elementType)  # type: ignore[union-attr]
             if l.kind == "object" and isinstance(constant, str):
@@ -263,8 +263,7 @@ class Lowering:
         out = F.lit(None).cast(v.DYN)
         values = v.children(l)
         if place is not None:
-            raw = F.encode(l.col["s"], "utf-8")
-            byte = F.when((place >= 0) & (place < F.octet_length(l.col["s"])), v.dyn("string", s=F.decode(F.substring(raw, place.cast("int") + 1, 1), "utf-8")))
+            byte = F.when((place >= 0) & (place < F.octet_length(l.col["s"])), v.dyn("string", s=v.byte_at(l.col["s"], place)))
             out = F.when(place.isNotNull(), F.when(l.col["k"] == 4, byte).otherwise(F.get(values.col, F.when(place >= 0, place.cast("int")))))  # type: ignore[union-attr]
         if name is not None:
             quote = F.when(F.instr(name, '"') > 0, F.lit("'")).otherwise(F.lit('"'))

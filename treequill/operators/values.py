@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
-from ..kinds import IRange, Regex
+from ..kinds import BYTE_ESCAPES, IRange, Regex
 
 TAGS = {"bool": 1, "int": 2, "float": 3, "string": 4, "bytes": 5, "object": 6, "array": 7, "irange": 8}
 NAMES = ("null", "bool", "int", "float", "string", "bytes", "model", "model", "irange")
@@ -264,6 +264,28 @@ def be_int(b: Column) -> Column:
     return F.when(F.octet_length(b) == 0, F.lit(0).cast("bigint")).otherwise(F.conv(F.hex(short), 16, -10).cast("bigint"))
 
 
+def utf8(b: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(b.cast("string"))
+
+
+def byte_at(s: Column, at: Column) -> Column:
+    """The byte of a text at a place that it has, as text."""
+    return utf8(F.substring(F.encode(s, "utf-8"), at.cast("int") + 1, 1))
+
+
+def bytes_literal(b: Column) -> Column:
+    """Bytes as they are printed: b"..", with escapes."""
+
+    def shown(pair: Column) -> Column:
+        code = F.conv(pair, 16, 10).cast("int")
+        plain = F.when((code >= 32) & (code < 127), F.char(code)).otherwise(F.concat(F.lit("\\x"), pair))
+        return F.coalesce(*[F.when(code == c, F.lit(escape)) for c, escape in BYTE_ESCAPES.items()], plain)
+
+    pairs = F.regexp_extract_all(F.hex(b), F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.concat(F.lit('b"'), F.array_join(F.transform(pairs, shown), ""), F.lit('"'))
+
+
 def full_match(s: Column, pattern: Column) -> Column:
     return F.rlike(s, F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z")))
 
@@ -528,7 +550,7 @@ class Kernels:
             case "float":
                 return F.format_string("%.6f", v.col)
             case "bytes":
-                return F.decode(v.col, "utf-8")
+                return utf8(v.col)
             case "irange":
                 return F.concat(v.col["begin"].cast("string"), F.lit(".."), v.col["end"].cast("string"))
         return F.lit("")
@@ -587,6 +609,8 @@ def to_text(v: Val, kernels: Kernels) -> Column:
     """How a result is printed: models as JSON, null as null."""
     if v.kind in ("object", "array"):
         return F.coalesce(F.to_json(F.to_variant_object(v.col)), F.lit("null"))
+    if v.kind == "bytes":
+        return F.coalesce(bytes_literal(v.col), F.lit("null"))
     if v.kind == "dyn":
-        return let(v.col, lambda x: F.when(x["k"].isin(6, 7), F.to_json(x["v"])).otherwise(kernels.as_string(Val("dyn", x)).col))
+        return let(v.col, lambda x: F.when(x["k"].isin(6, 7), F.to_json(x["v"])).when(x["k"] == 5, bytes_literal(x["y"])).otherwise(kernels.as_string(Val("dyn", x)).col))
     return kernels.as_string(v).col
