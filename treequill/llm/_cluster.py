@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -19,9 +20,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine (local master) gets a temporary folder; on a cluster it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="treequill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -41,14 +48,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended before us; the folder's owner cleans it
-            return
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  that session has ended before us; the folder's owner cleans it
+            continue
 
 
 atexit.register(_forget)
@@ -60,36 +70,75 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/treequill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._treequill_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later step reads."""
+    for table in tables:
+        _delete(table.sparkSession, table._treequill_path)
+        _written.remove((table.sparkSession, table._treequill_path))
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of queries that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans go with the first collection, what they alone held with the second; files in the background
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pieces(texts: list[bytes], limit: int = 3 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes, so that numpy's temporaries stay small."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def share_of(size: DataFrame | int, each: int) -> int:
+    """How many groups of ``each`` there are in a number, or in the bytes that the optimizer expects of a table."""
+    if isinstance(size, DataFrame):
+        size = int(str(size._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(-(-size // each), 1 << 20))
+
+
+#: Rows of two numbers or so that may be broadcast (some 32 MB); larger tables are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def text_bytes(column) -> list[bytes]:
-    """UTF-8 of an Arrow string column; null is empty."""
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast where its counted ``rows`` allow that."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def bits_for(n: int) -> int:
+    """Bits of a bitmap for n marks: a power of two, 8 kB to 32 MB; beyond that it only lets more pass in vain."""
+    return 1 << min(max((max(n, 1) - 1).bit_length(), 16), 28)
+
+
+def pieces(column, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, end, UTF-8 texts) of runs of about ``limit`` bytes of an Arrow string column; null is empty.
+
+    Only one run at a time is held as Python objects, so that memory doesn't follow the batch.
+    """
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("int64") + 1
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= limit or i + 1 == len(sizes):
+            yield start, i + 1, [b"" if x is None else x for x in column.slice(start, i + 1 - start).to_pylist()]
+            start, size = i + 1, 0
+
 
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -108,6 +157,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         roots = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        discard(edges)
         if not roots and not after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             return after.select(F.col("u").alias("id"), F.col("v").alias("component")).union(after.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         edges = after

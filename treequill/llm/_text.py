@@ -109,3 +109,19 @@ def distinct_per_text(who: np.ndarray, val: np.ndarray, texts: int) -> tuple[np.
 def encode(text: str | None) -> bytes:
     """UTF-8 of a text; None is empty, lone surrogates (not valid text) become '?'."""
     return b"" if text is None else text.encode("utf-8", "replace")
+
+
+def squeeze(values: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned numbers of ``width`` bytes, byte by byte of all of them, compressed: small numbers take little."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
+def unsqueeze(data: bytes, width: int = 4) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()

@@ -3,39 +3,56 @@
 The model is a table of additive weights by n-gram key.  With L(w) the log of the lower-order probability
 and U(v) the log of the back-off mass of a context, a document's log-probability is the sum over its words
 of L and U, and over its bigrams that the model has of ``log p(w|v) - U(v) - L(w)``; so scoring is one
-join of n-gram counts with weights.  It is sharded by key: documents travel as packed counts, shard by
-shard, and a bitmap of fixed size keeps n-grams that the model does not have at home (its false positives
-only travel in vain).  A document is rejected above a quantile of its language's trusted documents, taken
-from trusted documents outside the training fold.
+join of n-gram counts with weights.  It is sharded by key range: a piece (a run of documents of one task)
+sends each shard the n-grams that its documents have, with the documents of each and their counts, and a
+bitmap sized by the model keeps n-grams that the model does not have at home (its false positives only
+travel in vain).  Every count is exact; n-grams are counted by 128 bits and looked up by KEY_BITS, so that one
+that the model does not have is taken for one that it has once in 2**KEY_BITS / size of the model.  A document is rejected above
+a quantile of its language's trusted documents, taken from trusted documents outside the training fold.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._cluster import bitmap, partitions, pieces, ship, text_bytes, written
+from ._cluster import bitmap, bits_for, broadcast_if_small, discard, pieces, release, share_of, ship, written
 
-#: Bigrams seen less often give their whole mass to the lower order.
-MIN_COUNT = 2
 #: Part of the held-out trusted documents of a language that may lie above the threshold.
 QUANTILE = 0.995
-#: Occurrences of a word, of a bigram in one document that count as such: a part of its words, and some more.
-WORD_SHARE, PAIR_SHARE, SPARE = 0.1, 0.02, 3
-BITS = 1 << 24
+#: Model keys, and bytes of documents, of a shard, about.
+KEYS_PER_SHARD, BYTES_PER_SHARD = 400_000, 24 << 20
+#: Bytes of text in a piece: equal n-grams of a piece travel once.
+PIECE = 8 << 20
+#: Bits of an n-gram's key in the model.
+KEY_BITS = 48
 BOS, EOS = np.uint64(0xB05), np.uint64(0xE05)
 
 
+class Model(NamedTuple):
+    """Of a language model: a written table (shard, size, keys, weights) and its number of shards and keys.
+
+    unknown is the log-probability of a word outside the vocabulary, edge what a document's start and end weigh.
+    """
+
+    table: DataFrame
+    shards: int
+    keys: int
+    unknown: float
+    edge: float
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _text.mix(a * np.uint64(0x9FB21C651E98DF25) + b)
 
 
-def _bigrams(owner: np.ndarray, words: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bigrams(owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, context, word) with a start before and an end after each text that has words."""
     first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=bool)
     last = np.append(first[1:], True) if len(owner) else first
@@ -44,19 +61,25 @@ def _bigrams(owner: np.ndarray, words: np.ndarray, texts: int) -> tuple[np.ndarr
     return np.concatenate([owner, owner[last]]), np.concatenate([context, words[last]]), np.concatenate([words, np.full(int(last.sum()), EOS)])
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins, in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+
 def count_bigrams(texts: DataFrame) -> DataFrame:
     """(v, w, n): bigrams of word hashes over all rows of the one text column."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            data = text_bytes(batch.column(0))
-            for start, end in pieces(data):
-                owner, words, _, _ = _text.word_hashes(data[start:end])
-                _, v, w = _bigrams(owner, words, end - start)
+            for _, _, data in pieces(batch.column(0), 4 << 20):
+                owner, words, _, _ = _text.word_hashes(data)
+                _, v, w = _bigrams(owner, words)
                 order = np.lexsort((w, v))
                 v, w = v[order], w[order]
-                at = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, dtype=np.int64)
+                at = _starts(v, w)
                 yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(np.diff(at, append=len(v)))], names=["v", "w", "n"])
 
     return texts.mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
@@ -75,16 +98,14 @@ def _count_of_counts(counts: DataFrame, column: str) -> list[int]:
     return [x or 0 for x in row]
 
 
-def _discount(c, d: tuple[float, float, float], below: int = 0):
-    free = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-    return F.when(c < below, c.cast("double")).otherwise(free) if below else free
+def _discount(c, d: tuple[float, float, float]):
+    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def kneser_ney(bigrams: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, dict[str, float]]:
-    """(key, weight) of the model of written ``bigrams`` (v, w, n), and its constants.
+def kneser_ney(bigrams: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(key, weight, w) of the model of written ``bigrams`` (v, w, n), and its constants, as in Model.
 
-    Constants: unknown, the log-probability of a word outside the vocabulary; edge, what a document's
-    start and end weigh.
+    w is null in rows of words and contexts.
     """
     d = discounts(*_count_of_counts(bigrams, "n"))
     after = written(bigrams.groupBy("w").agg(F.count("*").alias("k")))
@@ -93,9 +114,10 @@ def kneser_ney(bigrams: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFram
     types, mass, size = totals[0] or 1, totals[1] or 1.0, (totals[2] or 0) + 1
     floor = mass / types / size
     low = after.select("w", F.log((F.col("k") - _discount(F.col("k"), e)) / types + F.lit(floor)).alias("low"))
-    context = bigrams.groupBy("v").agg(F.sum("n").alias("c"), F.sum(_discount(F.col("n"), d, min_count)).alias("left"))
-    context = context.select("v", "c", F.log(F.col("left") / F.col("c")).alias("back"))
-    seen = bigrams.where(F.col("n") >= min_count).join(context, "v").join(low, "w")
+    context = bigrams.groupBy("v").agg(F.sum("n").alias("c"), F.sum(_discount(F.col("n"), d)).alias("left"))
+    context = written(context.select("v", "c", F.log(F.col("left") / F.col("c")).alias("back")))
+    n_words = size - 1
+    seen = bigrams.join(broadcast_if_small(context, n_words + 1), "v").join(broadcast_if_small(low, n_words), "w")
     p = (F.col("n") - _discount(F.col("n"), d)) / F.col("c") + F.exp(F.col("back") + F.col("low"))
     pairs = seen.select("v", "w", (F.log(p) - F.col("back") - F.col("low")).alias("weight"))
     unknown = math.log(floor)
@@ -104,161 +126,204 @@ def kneser_ney(bigrams: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFram
     return words.select("key", "weight", F.lit(None).cast("long").alias("w")).union(pairs.select(F.col("v").alias("key"), "weight", "w")), {"unknown": unknown, "edge": ends.get(int(BOS), 0.0) + ends.get(int(EOS), 0.0)}
 
 
-def _keyed(model: DataFrame) -> DataFrame:
-    """(key, weight) with one hash for words and pairs alike."""
+def _steps(keys: np.ndarray) -> bytes:
+    """Rising keys, as the steps between them."""
+    return _text.squeeze(np.diff(keys, prepend=keys.dtype.type(0)), KEY_BITS // 8)
+
+
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)
+
+
+def _keyed(model: DataFrame, shards: int) -> DataFrame:
+    """(shard, size, keys, weights): the model, packed by shard, with one hash for words and pairs alike."""
     import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
+    def key(batches: Iterator) -> Iterator:
         for batch in batches:
             v = batch.column(0).to_numpy().view(np.uint64)
             pair = np.array(batch.column(2).is_valid())
             w = batch.column(2).fill_null(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(pair, _pair(v, w), v).view(np.int64)), batch.column(1)], names=["key", "weight"])
+            k = np.where(pair, _pair(v, w), v) >> np.uint64(64 - KEY_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(k, shards).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(batch.column(1).to_numpy().astype(np.float32))], names=["shard", "key", "weight"])
 
-    return model.mapInArrow(run, "key long, weight double")
+    def pack(key, table):
+        keys = table.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        weights = table.column("weight").to_numpy()[order].tobytes()
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "keys": pa.array([_steps(keys[order])], pa.binary()), "weights": pa.array([weights], pa.binary())})
 
+    return model.mapInArrow(key, "shard int, key long, weight float").groupBy("shard").applyInArrow(pack, "shard int, size long, keys binary, weights binary")
 
-def _short(times: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as a byte each; of those that 255 stands for, the counts themselves."""
-    return np.minimum(times, 255).astype(np.uint8).tobytes(), times[times >= 255].astype(np.uint32).tobytes()
 
+def _known(model: Model, bits: int) -> bytes:
+    """The bitmap of the model's keys, two marks for each."""
+    import pyarrow as pa
+
+    def spots(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for keys in batch.column(0).to_pylist():
+                k = np.cumsum(_text.unsqueeze(keys, KEY_BITS // 8))
+                for s in range(0, len(k), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[s : s + (1 << 16)] for x in (k & (bits - 1), k >> (KEY_BITS - bits.bit_length() + 1))]))], names=["spot"])
 
-def _long(times: bytes, more: bytes) -> np.ndarray:
-    out = np.frombuffer(times, dtype=np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(more, dtype=np.uint32)
-    return out
+    return bitmap(model.table.select("keys").mapInArrow(spots, "spot long"), bits)
 
 
-def _packed(docs: DataFrame, shards: int, known) -> DataFrame:
-    """Counts of the n-grams that the model may have, by piece (a run of documents of one task) and shard."""
+def _packed(docs: DataFrame, shards: int, known, bits_: int) -> DataFrame:
+    """Counts of the n-grams that the model may have, by piece and shard.
+
+    Of each n-gram (keys) the number of its documents (sizes), the steps from one to the next (gaps) and
+    how often each has it (times).  The shard a piece is at home in gets what identifies its documents, too.
+    """
     import pyarrow as pa
     from pyspark import TaskContext
 
+    meta = ["ids", "langs", "text_keys", "totals"]
+
     def run(batches: Iterator) -> Iterator:
         bits = np.frombuffer(known.value, dtype=np.uint8)
+        mask, high = np.uint64(bits_ - 1), np.uint64(KEY_BITS - bits_.bit_length() + 1)
         has = lambda s: bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & 1
         piece = TaskContext.get().partitionId() << 32
+
+        def grams(data: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            owner, words, _, _ = _text.word_hashes(data)
+            who, v, w = _bigrams(owner, words)
+            key = np.concatenate([words, _pair(v, w)]) >> np.uint64(64 - KEY_BITS)
+            keep = np.flatnonzero(has(key & mask) & has(key >> high))
+            return np.concatenate([owner, who])[keep].astype(np.int32) + np.int32(first), key[keep], np.bincount(owner, minlength=len(data))
+
         for batch in batches:
-            data = text_bytes(batch.column(1))
-            text_keys = batch.column(0).to_numpy()
-            for start, end in pieces(data):
+            for start, end, texts in pieces(batch.column(3), PIECE):
                 n = end - start
-                owner, words, _, _ = _text.word_hashes(data[start:end])
-                total = np.bincount(owner, minlength=n)
-                who, v, w = _bigrams(owner, words, n)
-                who, key = np.concatenate([owner, who]), np.concatenate([words, _pair(v, w)])
-                is_pair = np.zeros(len(key), dtype=bool)
-                is_pair[len(words) :] = True
-                keep = (has(key & np.uint64(BITS - 1)) & has(key >> np.uint64(24) & np.uint64(BITS - 1))).astype(bool)
-                who, key, is_pair = who[keep], key[keep], is_pair[keep]
-                shard = (key >> np.uint64(32)) % np.uint64(shards)
-                order = np.lexsort((key, who, shard))
-                who, key, is_pair, shard = who[order], key[order], is_pair[order], shard[order]
-                at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
-                times = np.diff(at, append=len(key))
-                who, key, is_pair, shard = who[at], key[at], is_pair[at], shard[at].astype(np.int64)
-                most = SPARE + total[who] * np.where(is_pair, PAIR_SHARE, WORD_SHARE)
-                times = np.minimum(times, np.floor(most)).astype(np.uint32)
-                edges = np.searchsorted(shard, np.arange(shards + 1))
+                parts = [grams(data, s) for s, _, data in pieces(pa.array(texts, pa.binary()))]
+                who, key, total = (np.concatenate(x) for x in zip(*parts))
+                del parts, texts
+                order = np.argsort(key, kind="stable")
+                who, key = who[order], key[order]
+                inner = np.lexsort((who, key)) if (np.diff(who)[np.diff(key) == 0] < 0).any() else None
+                if inner is not None:  # words and pairs of one key, which hashing all but rules out
+                    who, key = who[inner], key[inner]
+                at = _starts(key, who)
+                times, who, key = np.diff(at, append=len(key)), who[at].astype(np.int64), key[at]
+                first = _starts(key)
+                gaps = np.diff(who, prepend=0)
+                gaps[first] = who[first]
+                keys = key[first]
+                edges = np.searchsorted(_shard_of(keys, shards), np.arange(shards + 1))
+                ends = np.append(first, len(who))
+                rows: list[list] = [[] for _ in range(7)]
                 home = piece % shards
-                rows: list[list] = [[] for _ in range(8)]
                 for s in range(shards):
                     a, b = edges[s], edges[s + 1]
                     if a == b and s != home:
                         continue
-                    meta = (text_keys[start:end].tobytes(), total.astype(np.int64).tobytes()) if s == home else (None, None)
-                    values = (s, piece, key[a:b].astype(np.uint32).tobytes(), *_short(times[a:b]), np.bincount(who[a:b], minlength=n).astype(np.uint32).tobytes(), *meta)
+                    i, j = ends[a], ends[b]
+                    values = (s, piece, _steps(keys[a:b]), _text.squeeze(np.diff(ends[a : b + 1])), _text.squeeze(gaps[i:j]), _text.squeeze(times[i:j]), s == home)
                     for column, x in zip(rows, values):
                         column.append(x)
                 piece += 1
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(c, pa.binary()) for c in rows[2:]]], names=["shard", "piece", "keys", "times", "more", "counts", "text_keys", "totals"])
+                own = [batch.column(0).slice(start, n), batch.column(1).slice(start, n), batch.column(2).slice(start, n), pa.array(total.astype(np.int64))]
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rows[6])]) * n, pa.int32()), x) for x in own]
+                columns = [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(c, pa.binary()) for c in rows[2:6]], *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "piece", "keys", "sizes", "gaps", "times", *meta])
 
-    return docs.mapInArrow(run, "shard int, piece long, keys binary, times binary, more binary, counts binary, text_keys binary, totals binary")
+    return docs.mapInArrow(run, "shard int, piece long, keys binary, sizes binary, gaps binary, times binary, ids array<long>, langs array<string>, text_keys array<long>, totals array<long>")
 
 
 def _join_shard(key, packed, model):
-    """Sums of weights, piece by piece, of the n-grams in one shard."""
+    """Sums of weights by document, piece by piece, of the n-grams in one shard."""
     import pyarrow as pa
 
-    full = model.column("key").to_numpy().view(np.uint64)
-    low = full.astype(np.uint32)
-    order = np.argsort(low, kind="stable")
-    low, weight = low[order], model.column("weight").to_numpy()[order]
-    sums = []
-    for keys, times, more, counts in zip(*[packed.column(c).to_pylist() for c in ("keys", "times", "more", "counts")]):
-        asked = np.frombuffer(keys, dtype=np.uint32)
-        counts_ = np.frombuffer(counts, dtype=np.uint32).astype(np.int64)
+    known = [(np.cumsum(_text.unsqueeze(k, KEY_BITS // 8)), np.frombuffer(w, dtype=np.float32)) for k, w in zip(model.column("keys").to_pylist(), model.column("weights").to_pylist())]
+    full, weight = known[0] if known else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
+    docs, sums = [], []
+    for row in range(packed.num_rows):
+        keys, sizes, gaps, times = (packed.column(c)[row].as_py() for c in ("keys", "sizes", "gaps", "times"))
+        asked, sizes, gaps = np.cumsum(_text.unsqueeze(keys, KEY_BITS // 8)), _text.unsqueeze(sizes), _text.unsqueeze(gaps)
         value = np.zeros(len(asked))
-        if len(low):
-            at = np.minimum(np.searchsorted(low, asked), len(low) - 1)
-            value = np.where(low[at] == asked, weight[at], 0.0) * _long(times, more)
-        sums.append(np.bincount(np.repeat(np.arange(len(counts_)), counts_), weights=value, minlength=len(counts_)).tobytes())
-    return pa.table({"piece": packed.column("piece"), "sums": pa.array(sums, pa.binary()), "text_keys": packed.column("text_keys"), "totals": packed.column("totals")})
+        if len(full) and len(asked):
+            at = np.minimum(np.searchsorted(full, asked), len(full) - 1)
+            value = np.where(full[at] == asked, weight[at], 0.0)
+        who = np.cumsum(gaps)
+        first = np.cumsum(sizes) - sizes
+        who -= np.repeat(who[first] - gaps[first], sizes)
+        total = np.bincount(who, weights=np.repeat(value, sizes) * _text.unsqueeze(times))
+        some = np.flatnonzero(total)
+        docs.append(_text.squeeze(np.diff(some, prepend=0)))
+        sums.append(total[some].astype(np.float32).tobytes())
+    rest = {c: packed.column(c) for c in ("ids", "langs", "text_keys", "totals")}
+    return pa.table({"shard": packed.column("shard"), "piece": packed.column("piece"), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())} | rest)
 
 
 def _sum_piece(unknown: float, edge: float):
     import pyarrow as pa
 
     def run(key, table):
-        score = np.sum([np.frombuffer(x) for x in table.column("sums").to_pylist()], axis=0)
-        keys = np.frombuffer(next(x for x in table.column("text_keys").to_pylist() if x is not None), dtype=np.int64)
-        n = np.frombuffer(next(x for x in table.column("totals").to_pylist() if x is not None), dtype=np.int64)
+        table = table.sort_by("shard")  # equal texts are summed in one order, so they come out equal
+        home = int(np.flatnonzero(table.column("ids").combine_chunks().value_lengths().to_numpy())[0])
+        ids, langs, text_keys, n = (table.column(c)[home].values for c in ("ids", "langs", "text_keys", "totals"))
+        n = n.to_numpy()
+        score = np.zeros(len(n))
+        for docs, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist()):
+            score[np.cumsum(_text.unsqueeze(docs))] += np.frombuffer(sums, dtype=np.float32)
         steps = n + 1  # the end is a step too
         log_p = steps * unknown + score + edge
-        return pa.table({"text_key": pa.array(keys), "n_words": pa.array(n), "perplexity": pa.array(np.exp(-log_p / steps), mask=n == 0)})
+        return pa.table({"doc_id": ids, "lang": langs, "text_key": text_keys, "n_words": pa.array(n), "perplexity": pa.array(np.exp(-log_p / steps), mask=n == 0)})
 
     return run
 
 
-def perplexities(texts: DataFrame, model: DataFrame, constants: dict[str, float]) -> DataFrame:
-    """(text_key, n_words, perplexity) of each distinct row of texts (text_key, text); texts without words have none."""
-    spark = texts.sparkSession
-    model = written(_keyed(model))
-    low, high = F.col("key").bitwiseAND(F.lit(BITS - 1)), F.shiftrightunsigned("key", 24).bitwiseAND(F.lit(BITS - 1))
-    known = spark.sparkContext.broadcast(bitmap(model.select(F.explode(F.array(low, high)).alias("spot")), BITS))
-    shards = partitions(spark)
-    packed = _packed(texts, shards, known)
-    sharded = model.withColumn("shard", F.pmod(F.shiftrightunsigned("key", 32), F.lit(shards)).cast("int"))
-    sums = packed.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_join_shard, "piece long, sums binary, text_keys binary, totals binary")
-    scores = sums.groupBy("piece").applyInArrow(_sum_piece(constants["unknown"], constants["edge"]), "text_key long, n_words long, perplexity double")
-    return scores.dropDuplicates(["text_key"])
-
-
-def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) that a bitmap of ``ids`` does not exclude, so that a join need not deal the others."""
-    import pyarrow as pa
-
-    spot = F.xxhash64("doc_id").bitwiseAND(F.lit(BITS - 1)).alias("spot")
-    known = rows.sparkSession.sparkContext.broadcast(bitmap(ids.select(spot), BITS))
-
-    def run(batches: Iterator) -> Iterator:
-        bits = np.frombuffer(known.value, dtype=np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            yield batch.select([1, 2]).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+def perplexities(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang, text_key, n_words, perplexity) of every row (doc_id, lang, text_key, text).
 
-    return rows.select(spot, "doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    Texts without words have no perplexity.
+    """
+    bits = bits_for(8 * model.keys)
+    known = rows.sparkSession.sparkContext.broadcast(_known(model, bits))
+    packed = _packed(rows, model.shards, known, bits)
+    meta = "ids array<long>, langs array<string>, text_keys array<long>, totals array<long>"
+    sums = packed.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(_join_shard, f"shard int, piece long, docs binary, sums binary, {meta}")
+    return sums.groupBy("piece").applyInArrow(_sum_piece(model.unknown, model.edge), "doc_id long, lang string, text_key long, n_words long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, min_count: int = MIN_COUNT) -> DataFrame:
+def train(texts: DataFrame, least_shards: int = 1) -> Model:
+    """The model of all rows of one text column."""
+    spark = texts.sparkSession
+    # bigrams of one context lie side by side, so that files and shuffles hold it about once
+    bigrams = written(count_bigrams(texts).repartition("v").sortWithinPartitions("v"))
+    release(spark)
+    n = bigrams.count()
+    rows, constants = kneser_ney(bigrams)
+    shards = max(share_of(n, KEYS_PER_SHARD), least_shards)
+    table = written(_keyed(rows, shards))
+    discard(bigrams)
+    release(spark)
+    return Model(table, shards, table.agg(F.sum("size")).first()[0] or 0, **constants)
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, text_key, n_words, perplexity, threshold, kept) of every row of docs.
 
     Trusted are documents that ``labels`` (doc_id, quality, toxic) calls quality 1 and not toxic.  Half of
     them by hash train the model; the others set the thresholds, by language, and for all languages
     together where a language (or a null one) has none.  Texts without words (null,
     empty, blank) are rejected.  Without trusted documents nothing else is.  Ties with the threshold are
-    kept; repeated rows are judged alike.
+    kept; repeated rows are judged alike.  Texts of any length are counted in full.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("dice", F.xxhash64("doc_id", F.lit("trusted")))
-    train = trusted.where(F.pmod("dice", F.lit(2)) == 0).select("doc_id")
-    chosen = _maybe_in(rows.select("doc_id", "text"), train).join(train, "doc_id", "left_semi").select("text")
-    model, constants = kneser_ney(written(count_bigrams(chosen)), min_count)
-    scores = perplexities(rows.select(F.xxhash64("text").alias("text_key"), "text"), model, constants)
-    scored = written(rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key")).join(scores, "text_key"))
-    held = scored.join(trusted.where(F.pmod("dice", F.lit(2)) == 1).select("doc_id"), "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    trusted = written(trusted.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(2))))
+    n_trusted = trusted.count()
+    fold = lambda k: broadcast_if_small(trusted.where(F.col("fold") == k).select("doc_id"), n_trusted)
+    model = train(rows.select("doc_id", "text").join(fold(0), "doc_id", "left_semi").select("text"), share_of(rows, BYTES_PER_SHARD))
+    scored = written(perplexities(rows, model))
+    discard(model.table)
+    release(spark)
+    held = scored.join(fold(1), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     cut = F.percentile_approx("perplexity", quantile, 10000).alias("threshold")
     by_lang = held.where("lang IS NOT NULL").groupBy("lang").agg(cut)
     everywhere = held.agg(cut).first()[0]
