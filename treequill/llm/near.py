@@ -10,6 +10,7 @@ fragment and summed per pair.  Documents with equal sets are one class throughou
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._cluster import components, partitions, pieces, ship, text_bytes, written
+from ._cluster import components, discard, free_name, partitions, pieces, release, ship, written
 
 #: n-grams of all documents that one fragment holds, about; documents of a block.
 PER_FRAGMENT, BLOCK = 3_000_000, 512
@@ -25,13 +26,13 @@ PER_FRAGMENT, BLOCK = 3_000_000, 512
 _COLUMNS = 4096
 
 
-def _sets(texts: list[bytes], words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, class ids, offsets, sorted distinct n-grams) of successive groups of texts.
+def _sets(column, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, class ids, offsets, sorted distinct n-grams) of successive groups of texts of an Arrow column.
 
     A class id is a 64-bit hash of the set, 0 for the empty one.
     """
-    for start, end in pieces(texts):
-        owner, hashes, _, _ = _text.word_hashes(texts[start:end])
+    for start, end, texts in pieces(column):
+        owner, hashes, _, _ = _text.word_hashes(texts)
         who, val, _ = _text.shingle_hashes(owner, hashes, words, True)
         val, off = _text.distinct_per_text(who, val, end - start)
         n = np.diff(off)
@@ -49,8 +50,7 @@ def with_classes(docs: DataFrame, words: int, doc: str = "doc_id", text: str = "
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            texts = text_bytes(batch.column(2))
-            for start, ids, off, _ in _sets(texts, words):
+            for start, ids, off, _ in _sets(batch.column(2), words):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), batch.column(1).slice(start, len(ids)), pa.array(ids), pa.array(np.diff(off))], names=["doc_id", "text_key", "class", "n_shingles"])
 
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_key long, class long, n_shingles long")
@@ -62,8 +62,7 @@ def _fragments(docs: DataFrame, words: int, fragments: int, text: str) -> DataFr
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            texts = text_bytes(batch.column(0))
-            for _, ids, off, val in _sets(texts, words):
+            for _, ids, off, val in _sets(batch.column(0), words):
                 n = np.diff(off)
                 first = np.zeros(len(ids), dtype=bool)
                 first[np.unique(ids, return_index=True)[1]] = True
@@ -157,8 +156,8 @@ def _block_links(percent: int):
     import pyarrow as pa
 
     def run(key, table):
-        two = key[1].as_py() != key[2].as_py()
-        left = np.array(table.column("block").to_pylist()) == key[1].as_py()
+        two = key[2].as_py() or key[3].as_py() != key[4].as_py()
+        left = table.column("left").to_numpy(zero_copy_only=False)
         cls = table.column("class").to_numpy()
         n = table.column("n").to_numpy()
         grams = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
@@ -191,20 +190,16 @@ def _block_links(percent: int):
             overlap += x @ y.T
         inter = overlap.astype(np.int64)
         ok = 100 * inter >= percent * (n[a][:, None] + n[b][None, :] - inter)
-        parent = np.arange(len(cls))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        pairs = []
-        for i, j in zip(*np.nonzero(ok)):
-            p, q = find(a[i]), find(b[j])
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                pairs.append((cls[a[i]], cls[b[j]]))
+        # the least place reachable within the block, by rounds of taking the least of all neighbours
+        label, none = np.arange(len(cls)), len(cls)
+        while True:
+            old = label.copy()
+            label[a] = np.minimum(label[a], np.where(ok, label[b][None, :], none).min(axis=1, initial=none))
+            label[b] = np.minimum(label[b], np.where(ok, label[a][:, None], none).min(axis=0, initial=none))
+            label = label[label]
+            if (label == old).all():
+                break
+        joined = np.flatnonzero(label != np.arange(len(cls)))
         rows = table.column("rows").to_numpy()
         degree = np.zeros(len(cls), dtype=np.int64)
         if not two:
@@ -213,7 +208,7 @@ def _block_links(percent: int):
         if two:
             degree[b] += ok.T @ rows[a]
         linked = np.flatnonzero(degree)
-        return pa.table({"a": pa.array([p for p, _ in pairs] + cls[linked].tolist(), pa.int64()), "b": pa.array([q for _, q in pairs] + [None] * len(linked), pa.int64()), "degree": pa.array([0] * len(pairs) + degree[linked].tolist(), pa.int64())})
+        return pa.table({"a": pa.array(np.concatenate([cls[joined], cls[linked]]), pa.int64()), "b": pa.array(cls[label[joined]].tolist() + [None] * len(linked), pa.int64()), "degree": pa.array(np.concatenate([np.zeros(len(joined), dtype=np.int64), degree[linked]]), pa.int64())})
 
     return run
 
@@ -224,20 +219,43 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int, text: s
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(partitions(spark), -(-total // PER_FRAGMENT))
     packed = _fragments(docs, words, fragments, text)
-    buckets = partitions(spark)
+    buckets = max(partitions(spark), -(-total // PER_FRAGMENT))
     shared = packed.repartition(fragments, "fragment").groupBy("fragment").applyInArrow(_shared(buckets), "bucket int, fragment int, classes binary, counts binary, low binary, high binary, dfs binary")
     sizes = classes.groupBy("class").agg(F.first("n_shingles").alias("size"), F.count("*").alias("rows"))
     sizes = sizes.withColumn("bucket", F.pmod("class", F.lit(buckets)).cast("int"))
     rest = written(shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(_prefixes(percent), "class long, n long, grams binary, prefix array<long>, rows long"))
+    del packed, shared, sizes
+    release(spark)
     postings = rest.select("class", F.explode("prefix").alias("gram"))
     firsts = postings.groupBy("gram").agg(F.min("class").alias("least"), F.count("*").alias("m")).where("m > 1")
     groups = components(postings.join(firsts, "gram").select(F.col("class").alias("a"), F.col("least").alias("b")))
     members = written(rest.select("class", "n", "grams", "rows").join(groups.withColumnRenamed("id", "class"), "class"))
-    counts = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocked = members.join(counts, "component").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = blocked.select("*", other).select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "class", "n", "grams", "rows", "block")
-    return dealt.groupBy("component", "x", "y").applyInArrow(_block_links(percent), "a long, b long, degree long")
+    discard(rest)
+    release(spark)
+    dealt = _dealt(members, percent)
+    return dealt.groupBy("component", "band", "up", "x", "y").applyInArrow(_block_links(percent), "a long, b long, degree long")
+
+
+def _dealt(members: DataFrame, percent: int) -> DataFrame:
+    """``members``, each with every pair of blocks (component, band, up, x, y) that it is compared in.
+
+    A component of more than BLOCK classes is cut into bands of set sizes, such that classes that can link are
+    in one band or in neighbouring ones, and each band into blocks.  Blocks of a band are paired with each
+    other, and (up) with those of the next band.
+    """
+    size = members.groupBy("component").agg(F.count("*").alias("m"))
+    width = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
+    banded = members.join(size, "component").withColumn("band", F.when(F.col("m") > BLOCK, F.floor(F.log(F.col("n")) / width)).otherwise(0).cast("long")).drop("m")
+    counts = written(banded.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    own = banded.join(counts, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    values = ["class", "n", "grams", "rows"]
+    same = own.select("*", others("blocks")).select("component", "band", F.lit(False).alias("up"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *values, (F.col("block") <= F.col("other")).alias("left"))
+    upper = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("there"))
+    lower = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("there"))
+    up = own.join(upper, ["component", "band"]).select("*", others("there")).select("component", "band", F.lit(True).alias("up"), F.col("block").alias("x"), F.col("other").alias("y"), *values, F.lit(True).alias("left"))
+    down = own.join(lower, ["component", "band"]).select("*", others("there")).select("component", (F.col("band") - 1).alias("band"), F.lit(True).alias("up"), F.col("other").alias("x"), F.col("block").alias("y"), *values, F.lit(False).alias("left"))
+    return same.union(up).union(down)
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,9 +288,10 @@ def one_of_each_group(docs: DataFrame, found: DataFrame, doc: str = "doc_id", te
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("first"))
-    stay = first.select(F.xxhash64("first.doc_id", "first.text_key").alias("_row"))
-    alone = found.where("group IS NULL").select(F.xxhash64("doc_id", "text_key").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(doc).cast("long"), F.xxhash64(text)))
-    marked = keyed.join(stay.select("_row", F.lit(True).alias("_once")).union(alone.select("_row", F.lit(False))), "_row")
-    once = marked.where("_once").dropDuplicates(["_row"])
-    return once.union(marked.where("NOT _once")).select(*docs.columns)
+    row, once_ = free_name(docs, "_row"), free_name(docs, "_once")
+    stay = first.select(F.xxhash64("first.doc_id", "first.text_key").alias(row), F.lit(True).alias(once_))
+    alone = found.where("group IS NULL").select(F.xxhash64("doc_id", "text_key").alias(row), F.lit(False).alias(once_)).distinct()
+    keyed = docs.withColumn(row, F.xxhash64(F.col(doc).cast("long"), F.xxhash64(text)))
+    marked = keyed.join(stay.union(alone), row)
+    once = marked.where(F.col(once_)).dropDuplicates([row])
+    return once.union(marked.where(~F.col(once_))).select(*docs.columns)
