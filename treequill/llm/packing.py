@@ -16,20 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._cluster import ship, written
+from ._cluster import free_name, ship, written
 
 LENGTH = 2048
 #: Pieces in a partition at most; what one task holds while packing.
 PER_PARTITION = 40_000
-ROUNDS = 4
 
 
 class Encoder:
     """Ids of the byte-level BPE in a tokenizers file, as little-endian unsigned 32-bit bytes.
 
     The ranks are the file's own vocabulary, whose ids follow the order of its merges; the merge loop
-    is tiktoken's, which is several times faster on texts of rare words and gives the same ids.
+    is tiktoken's, which is several times faster on texts of rare words and gives the same ids.  Texts are
+    first split at the file's added tokens, each of which is one id, as the tokenizers library does.  A
+    file whose added tokens take in the spaces or need word borders beside them is an error.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,14 +40,18 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model["added_tokens"] if t["special"]}
+        added = model["added_tokens"]
+        if model["normalizer"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError(f"{path}: a normalizer, or added tokens that depend on what is beside them")
+        special = {t["content"]: t["id"] for t in added}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(letters[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = set(special)
 
     def ids(self, text: str) -> bytes:
-        return bytes(memoryview(self.encoding._core_bpe.encode_to_tiktoken_buffer(text, set())))
+        return bytes(memoryview(self.encoding._core_bpe.encode_to_tiktoken_buffer(text, self.special)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -130,11 +136,12 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, per_partition: int = PER_PARTITION) -> DataFrame:
     """``pieces`` (any columns, ``length`` among them) with sequence_id and offset.
 
-    Every row is placed exactly once, whatever its other columns hold.  Rows should come from a written
-    table: they are read once a round.
+    Every row is placed exactly once, whatever its other columns hold.  Rounds end when every partition is
+    certified, when one partition holds all that is left, or when a round saves no bin.  Rows should come
+    from a written table: they are read once a round.
     """
     import pyarrow as pa
 
@@ -144,8 +151,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, per_partition: int = PER_PARTI
     pieces = pieces.select(*names)
     whole = pieces.where(F.col("length") >= length)
     done = [whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    packed_schema = f"{fields}, _salt long, sequence_id long, offset long, _open boolean"
+    salt, part_, open_ = (free_name(pieces, n) for n in ("_salt", "_part", "_open"))
+    packed_schema = StructType([*pieces.schema.fields]).add(salt, "long").add("sequence_id", "long").add("offset", "long").add(open_, "boolean")
 
     def packer(turn: int):
         def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -161,30 +168,31 @@ def pack(pieces: DataFrame, length: int = LENGTH, per_partition: int = PER_PARTI
             fill = np.bincount(bins, weights=sizes)
             unfilled = (fill < length)[bins] if made > bound else np.zeros(len(sizes), dtype=bool)
             ids = ((turn << 56) | (int(key[0].as_py()) << 24)) + bins
-            out = table.drop_columns(["_part"])
-            for name, values in (("sequence_id", ids), ("offset", offset), ("_open", unfilled)):
+            out = table.drop_columns([part_])
+            for name, values in (("sequence_id", ids), ("offset", offset), (open_, unfilled)):
                 out = out.append_column(name, pa.array(values))
             return out
 
         return run
 
-    pool = pieces.where(F.col("length") < length).withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    pool = pieces.where(F.col("length") < length).withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
     before: DataFrame | None = None
-    before_bins = 0
-    for turn in range(1, rounds + 1):
+    before_bins, turn = 0, 0
+    while True:
+        turn += 1
         parts = max(1, -(-pool.count() // per_partition))
-        dealt = pool.withColumn("_part", F.pmod(F.xxhash64("_salt", F.lit(turn)), F.lit(parts)))
-        result = written(dealt.groupBy("_part").applyInArrow(packer(turn), packed_schema))
+        dealt = pool.withColumn(part_, F.pmod(F.xxhash64(salt, F.lit(turn)), F.lit(parts)))
+        result = written(dealt.groupBy(part_).applyInArrow(packer(turn), packed_schema))
         if before is not None and result.select("sequence_id").distinct().count() >= before_bins:
             done.append(before.select(*names, "sequence_id", "offset"))
             break
-        unfilled = result.where("_open")
+        unfilled = result.where(F.col(open_))
         bins = unfilled.select("sequence_id").distinct().count() if parts > 1 else 0
-        if not bins or turn == rounds:
+        if not bins:
             done.append(result.select(*names, "sequence_id", "offset"))
             break
-        done.append(result.where("NOT _open").select(*names, "sequence_id", "offset"))
-        before, before_bins, pool = unfilled, bins, unfilled.select(*names, "_salt")
+        done.append(result.where(~F.col(open_)).select(*names, "sequence_id", "offset"))
+        before, before_bins, pool = unfilled, bins, unfilled.select(*names, salt)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
