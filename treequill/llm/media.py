@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import bitmap, pieces, ship, text_bytes, written
+from ._cluster import bitmap, pieces, ship, written
 
 UNIT = 64
 RATE = 8000
@@ -111,8 +111,9 @@ def write_store(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tup
         import pyarrow as pa
 
         for batch in batches:
-            out = [d for t in text_bytes(batch.column(0)) for d in map(digest, chunks(payload(t)))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["digest"])
+            for _, _, texts in pieces(batch.column(0)):
+                out = [d for t in texts for d in map(digest, chunks(payload(t)))]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["digest"])
 
     counts = rows.select("text").mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     known = spark.sparkContext.broadcast(shared_bitmap(counts))
@@ -123,10 +124,11 @@ def write_store(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tup
         bits = known.value
         for batch in batches:
             seen: dict[bytes, bytes] = {}
-            for t in text_bytes(batch.column(0)):
-                for c in chunks(payload(t)):
-                    if _maybe_shared(bits, d := digest(c)) and d not in seen:
-                        seen[d] = zlib.compress(c, 1)
+            for _, _, texts in pieces(batch.column(0)):
+                for t in texts:
+                    for c in chunks(payload(t)):
+                        if _maybe_shared(bits, d := digest(c)) and d not in seen:
+                            seen[d] = zlib.compress(c, 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "bytes"])
 
     def recorded(batches: Iterator) -> Iterator:
@@ -135,14 +137,13 @@ def write_store(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tup
         bits = known.value
         kind = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for start, end in pieces(texts):
+            for start, end, texts in pieces(batch.column(1)):
                 lists, sizes = [], []
-                for t in texts[start:end]:
+                for t in texts:
                     p = payload(t)
                     sizes.append(len(p))
                     lists.append([{"digest": (d := digest(c)), "bytes": None if _maybe_shared(bits, d) else zlib.compress(c, 1)} for c in chunks(p)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([len(t) for t in texts[start:end]], pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, kind)], names=["doc_id", "n_bytes", "payload_bytes", "parts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, kind)], names=["doc_id", "n_bytes", "payload_bytes", "parts"])
 
     shared = rows.select("text").mapInArrow(shared_bytes, "digest binary, bytes binary").dropDuplicates(["digest"])
     return written(rows.mapInArrow(recorded, f"doc_id long, n_bytes long, payload_bytes long, parts {_PARTS}")), written(shared)
