@@ -3,8 +3,8 @@
 A naive Bayes classifier over informative words, fitted on labelled documents, gives every document
 posteriors p over domains.  Document rates r >= 0 are fitted by projected gradient least squares, so
 that the expected tokens of each domain, the sum of r * tokens * p, meet their targets.  The metric is
-that of the domains' token Gram matrix: a step is r <- max(0, r - p . G^-1 (S - T)), of which each costs
-one aggregation of a few numbers; the rates are an expression over the posteriors, never a table of state.
+that of the token Gram matrix of the rows above 0: a step is r <- max(0, r - p . G^-1 (S - T)), of which each
+costs one aggregation of a few numbers; the rates are an expression over the posteriors, never a table of state.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ._cluster import broadcast_if_small, discard, written
 MAX_LABELLED = 6_000
 #: The classifier knows every word that so many of them have.
 LEAST_DOCUMENTS = 5
+#: Steps in a row that come no nearer to the targets, after which they count as out of reach.
+PATIENCE = 8
 #: Steps after which a rate is written as a column, so that its expression stays short.
 WRITE_EVERY = 20
 #: A word is a run of these characters.
@@ -109,7 +111,7 @@ def fit_rates(base: DataFrame, weights: list[float], total: float | None = None,
     ``total`` is the number of tokens of the mix; by default so many that the domain of the largest weight
     is used once, neither thinned nor repeated.  Weights are scaled to sum to 1.  Rates are projected onto
     0 and above (onto 0 to ``most`` where a caller sets that); with ``repeats`` the targets are first made
-    feasible.  Steps end when the targets are met, or when a step changes nothing: then they can't be.
+    feasible.  Steps end when the targets are met, or when PATIENCE steps came no nearer: then they can't be.
     """
     k = len(weights)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -125,15 +127,17 @@ def fit_rates(base: DataFrame, weights: list[float], total: float | None = None,
         total = have[main] / share[main]
     target = [s * total for s in share]
     reached, rate, rated, done = have, F.lit(1.0), base, 0
-    close = tolerance * max(total, 1.0)
-    while max(abs(r - t) for r, t in zip(reached, target)) > close:
+    miss = lambda: max(abs(r - t) for r, t in zip(reached, target))
+    best, since = miss(), 0
+    while miss() > tolerance * max(total, 1.0) and since < PATIENCE:
         step = _solve(gram, [r - t for r, t in zip(reached, target)])
         rate = F.greatest(F.lit(0.0), rate - sum((p[i] * step[i] for i in range(k)), F.lit(0.0)))
         rate = rate if most is None else F.least(F.lit(most), rate)
-        row = rated.agg(*[F.sum(n * p[i] * rate) for i in range(k)]).first()
-        before, reached, done = reached, [x or 0.0 for x in row], done + 1
-        if max(abs(r - b) for r, b in zip(reached, before)) <= close:
-            break
+        free = F.when(rate > 0, n)  # rows at 0 don't follow a step: the next one is measured by the others
+        row = rated.agg(*[F.sum(n * p[i] * rate) for i in range(k)], *[F.sum(free * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
+        reached, done = [x or 0.0 for x in row[:k]], done + 1
+        gram = [[row[k + i * k + j] or 0.0 for j in range(k)] for i in range(k)]
+        best, since = (miss(), 0) if miss() < 0.99 * best else (best, since + 1)
         if done % WRITE_EVERY == 0:
             rated, rate = written(rated.withColumn("rate", rate)), F.col("rate")
     return rated.withColumn("rate", rate)
