@@ -85,9 +85,9 @@ def test_count_tokens_rows(spark):
 def test_ids_equal_the_tokenizers_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     encoder = packing.Encoder(path)
-    for _, text in ODD:
+    added = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext", " <|endoftext|>!", "it's <|endoftext|>'s"]
+    for text in [*[text for _, text in ODD], *added]:
         ids = t.encode(text or "", add_special_tokens=False).ids
         assert encoder.ids(text or "") == struct.pack(f"<{len(ids)}I", *ids)
 
@@ -108,7 +108,6 @@ def _check(rows, capacity):
 def test_packing_documents(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = packing.pack(packing.cut_pieces(spark.createDataFrame(ODD, SCHEMA), path)).collect()
     _check(got, 2048)
     expected = []
@@ -139,7 +138,9 @@ def test_best_fit_and_its_bound(seed):
 def test_repacking_partitions_with_gaps(spark):
     rng = np.random.default_rng(3)
     rows = [(i, int(s)) for i, s in enumerate(rng.integers(300, 1200, 600))]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), per_partition=60).collect()
+    pieces = spark.createDataFrame(rows, "doc_id long, length long").selectExpr("*", "'x' AS _salt", "1 AS _part", "true AS _open")
+    got = packing.pack(pieces, per_partition=60).collect()
+    assert all((r["_salt"], r["_part"], r["_open"]) == ("x", 1, True) for r in got)
     assert sorted((r["doc_id"], r["length"]) for r in got) == rows
     alone = len(np.unique(packing.best_fit_decreasing(np.array([s for _, s in rows]), 2048)))
     assert _check(got, 2048) <= alone + 6
