@@ -33,9 +33,10 @@ class Context:
 
 
 class Lowering:
-    def __init__(self, functions: dict[str, Callable] | None = None, operators: dict[str, Callable] | None = None, on_error: str = "raise", max_depth: int = 16) -> None:
+    def __init__(self, functions: dict[str, Callable] | None = None, operators: dict[str, Callable] | None = None, on_error: str = "raise", max_depth: int = 16, hooks: tuple[Callable, Callable] | None = None) -> None:
         self.kernels = Kernels(on_error)
         self.functions, self.operators, self.on_error, self.max_depth = functions or {}, operators or {}, on_error, max_depth
+        self.hooks = hooks
 
     # streams
 
@@ -85,6 +86,15 @@ class Lowering:
     # nodes
 
     def lower(self, node: a.Node, ctx: Context) -> Stream:
+        if self.hooks is None:
+            return self._lower(node, ctx)
+        begin, end = self.hooks
+        begin(node)
+        out = self._lower(node, ctx)
+        end(node, out)
+        return out
+
+    def _lower(self, node: a.Node, ctx: Context) -> Stream:
         match node:
             case a.Const(value):
                 return v.literal(value)

@@ -40,13 +40,15 @@ class Query:
 @dataclass
 class Session:
     """constants are named literals; functions and operators build columns: functions get the lowering and
-    their lowered arguments, operators one or two values.  on_error is ``raise`` or ``null``."""
+    their lowered arguments, operators one or two values.  on_error is ``raise`` or ``null``.  hooks are called as (node) before a node
+    is lowered and as (node, stream) after it."""
 
     constants: dict[str, object] = field(default_factory=dict)
     functions: dict[str, Callable] = field(default_factory=dict)
     operators: dict[str, Callable] = field(default_factory=dict)
     on_error: str = "raise"
     max_depth: int = 16
+    hooks: tuple[Callable, Callable] | None = None
 
     def compile(self, query: str, any: bool = False, auto_wildcard: bool = False) -> Query:  # noqa: A002
         def of_data(env, ctx, args):
@@ -57,7 +59,7 @@ class Session:
 
         env = Environment(constants=self.constants, functions={n: of_data for n in self.functions}, unfoldable={"trace", *(n.lower() for n in self.functions)}, operators={n: _later for n in self.operators})
         tree = parse(query, env, any=any, auto_wildcard=auto_wildcard)
-        return Query(query, tree, Lowering(self.functions, self.operators, self.on_error, self.max_depth), tuple(env.warnings))
+        return Query(query, tree, Lowering(self.functions, self.operators, self.on_error, self.max_depth, self.hooks), tuple(env.warnings))
 
     def _doc(self, df: DataFrame, doc: str) -> tuple[Column, T.DataType]:
         return F.col(doc), df.select(doc).schema[0].dataType
