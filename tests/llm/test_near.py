@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from treequill.llm import forest, near
+from treequill.llm import _cluster, forest, near
 
 
 def sets_of(text, words):
@@ -111,3 +112,21 @@ def test_forest_equals_brute_force(spark):
 
 def test_forest_of_an_empty_table(spark):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_blocks_of_one_component_are_dealt_over_tasks(spark, monkeypatch, limit):
+    """Whether its sizes are broadcast or joined by a shuffle, a large component is not one task's."""
+    monkeypatch.setattr(_cluster, "BROADCAST_ROWS", limit)
+    one = {"class": F.col("id"), "n": F.lit(100).cast("long"), "grams": F.lit(b"12345678"), "rows": F.lit(1).cast("long"), "component": F.lit(7).cast("long")}
+    members = spark.range(near.BLOCK * 6).select(*[c.alias(name) for name, c in one.items()])
+    dealt = near._dealt(members, 80)
+    assert dealt.where("x < y").select("x", "y").distinct().count() == 15
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which merges tasks as small as these
+    try:
+        held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(component#" in x and "band#" in x and "up#" in x for x in plan.splitlines())
+    assert max(held) < 0.8 * sum(held)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._cluster import components, discard, free_name, partitions, pieces, release, ship, written
+from ._cluster import broadcast_if_small, components, discard, free_name, partitions, pieces, release, ship, written
 
 #: n-grams of all documents that one fragment holds, about; documents of a block.
 PER_FRAGMENT, BLOCK = 3_000_000, 512
@@ -243,19 +243,22 @@ def _dealt(members: DataFrame, percent: int) -> DataFrame:
     in one band or in neighbouring ones, and each band into blocks.  Blocks of a band are paired with each
     other, and (up) with those of the next band.
     """
-    size = members.groupBy("component").agg(F.count("*").alias("m"))
+    size = written(members.groupBy("component").agg(F.count("*").alias("m")))
+    size = broadcast_if_small(size, size.count())
     width = math.log(100 / percent) * (1 + 1e-6) if percent < 100 else 1e-9
     banded = members.join(size, "component").withColumn("band", F.when(F.col("m") > BLOCK, F.floor(F.log(F.col("n")) / width)).otherwise(0).cast("long")).drop("m")
     counts = written(banded.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    own = banded.join(counts, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    n = counts.count()
+    own = banded.join(broadcast_if_small(counts, n), ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
     values = ["class", "n", "grams", "rows"]
     same = own.select("*", others("blocks")).select("component", "band", F.lit(False).alias("up"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *values, (F.col("block") <= F.col("other")).alias("left"))
     upper = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("there"))
     lower = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("there"))
-    up = own.join(upper, ["component", "band"]).select("*", others("there")).select("component", "band", F.lit(True).alias("up"), F.col("block").alias("x"), F.col("other").alias("y"), *values, F.lit(True).alias("left"))
-    down = own.join(lower, ["component", "band"]).select("*", others("there")).select("component", (F.col("band") - 1).alias("band"), F.lit(True).alias("up"), F.col("other").alias("x"), F.col("block").alias("y"), *values, F.lit(False).alias("left"))
-    return same.union(up).union(down)
+    up = own.join(broadcast_if_small(upper, n), ["component", "band"]).select("*", others("there")).select("component", "band", F.lit(True).alias("up"), F.col("block").alias("x"), F.col("other").alias("y"), *values, F.lit(True).alias("left"))
+    down = own.join(broadcast_if_small(lower, n), ["component", "band"]).select("*", others("there")).select("component", (F.col("band") - 1).alias("band"), F.lit(True).alias("up"), F.col("other").alias("x"), F.col("block").alias("y"), *values, F.lit(False).alias("left"))
+    # dealt by all keys: rows that lie by component satisfy the grouping too, with a large component in one task
+    return same.union(up).union(down).repartition("component", "band", "up", "x", "y")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
