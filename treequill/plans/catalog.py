@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.values import Val, literal
 from ..sources import documents as d
+from ..sources.build import extend, new_object, size_statistics
 from .session import Session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,12 +27,15 @@ def _rounded(df: DataFrame, digits: int | None, as_: str | None) -> DataFrame:
     return df.select(F.col("root_id").cast("bigint").alias("root_id"), F.col("pos").cast("bigint").alias("pos"), value.alias("value"))
 
 
-def _add(name: str, docs: Callable, query: str, sql: str, digits: int | None = None, as_: str | None = None, view: Callable | None = None) -> None:
-    """Registers a query of one value or more for each document, typed, and its SQL (root_id, pos, value)."""
+def _add(name: str, docs: Callable, query: str, sql: str, digits: int | None = None, as_: str | None = None, view: Callable | None = None, **options) -> None:
+    """Registers a query of one value or more for each document, typed, and its SQL (root_id, pos, value).
+
+    options are those of the session.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         source = docs(spark, sf_dir)
-        session = Session(max_depth=4) if view else Session()  # these documents are three levels deep
+        session = Session(**({"max_depth": 4} if view else {}), **options)  # these documents are three levels deep
         return _rounded(session.values(view(source) if view else source, "doc", query, ["root_id"]), digits, as_)
 
     QUERIES[name], ORACLES[name] = run, sql
@@ -134,6 +139,39 @@ _add("primes", d.regions, "count(range(1,1000)...{count((_ % range(1,_)...) == 0
 _fold("flagship_order_value", "sum(line.*.(price * qty))", "round(sum(l_extendedprice * l_quantity), 2)", digits=2)
 _fold("flagship_order_value_dynamic", "sum(line.*.(price * qty))", "round(sum(l_extendedprice * l_quantity), 2)", digits=2, as_="double", view=d.dynamic)
 
+# streams, constants and literals
+_add("u1_order", d.orders, "arr(line.*.partkey, line.*.n)", f"WITH l AS ({_LINES}), k AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT root_id, place AS pos, CAST(l_partkey AS BIGINT) AS value FROM l UNION ALL SELECT root_id, place + n, CAST(l_linenumber AS BIGINT) FROM l JOIN k ON root_id = key")
+_order("u4_truthiness", "count(arr(total > 100000, custkey == 1, orderkey, 0, '', 0.0, null))", "CAST(4 AS BIGINT) + (o_totalprice > 100000)::INT + (o_custkey = 1)::INT")
+_fold("u3_null_if_empty", "count(arr(line.*{qty > 49}.n as string))", "greatest(count(*) FILTER (l_quantity > 49), 1)")
+_fold("u5_cardinality", "count(total, line.*, line.*{qty > 25}.n)", "1 + count(*) + count(*) FILTER (l_quantity > 25)")
+_order("p11_constant", "total > Limit", "o_totalprice > 100000.0", constants={"limit": 100000.0})
+_order("p12_literals", "(1 as string) + (2.5 as string) + 'x' + (true as string) + status + (0x1f as string)", "'12.500000xtrue' || o_orderstatus || '31'")
+_order("p13_constants_with_values", "sum(arr(1, 2, custkey))", "3 + o_custkey")
+_lines("p14_group_in_path", "line.*.(qty * n)", "l_quantity * l_linenumber")
+_order("p8_string_index_utf8", "('é' + status)[2]", "o_orderstatus")
+
+# comparisons, arithmetic, casts of values that differ by document
+_order("c1_equal_kinds", "count(arr(orderkey == custkey, orderkey == total, status == 'F', status == custkey))", "CAST((o_orderkey = o_custkey)::INT + (o_orderkey = o_totalprice)::INT + (o_orderstatus = 'F')::INT AS BIGINT)")
+_order("c2_unequal", "orderkey % 7 != custkey % 7", "o_orderkey % 7 <> o_custkey % 7")
+_order("c3_less_text", "status < 'O'", "o_orderstatus < 'O'")
+_order("c3_less_bytes", "(status as bytes) < b'O'", "o_orderstatus < 'O'")
+_order("m4_divide_negative", "(-orderkey) / 7", "-(o_orderkey // 7)")
+_order("m5_remainder_negative", "(-orderkey) % 7", "-(o_orderkey % 7)")
+_order("m10_shift_right_negative", "(-1 - orderkey) >> 1", "CAST(9223372036854775807 - o_orderkey // 2 AS BIGINT)")
+_order("t2_concat_model_and_text", "((status + _) as string) + status", "'null' || o_orderstatus")
+_order("t5_bool_of_values", "(total > 100000)?", "o_totalprice > 100000")
+_order("t6_int_of_text", "priority as int", "CAST(substr(o_orderpriority, 1, 1) AS BIGINT)")
+_order("t7_float_of_text", "priority as float", "CAST(substr(o_orderpriority, 1, 1) AS DOUBLE)")
+_order("t9_bytes_of_text", "(status as bytes) as string", "o_orderstatus")
+_order("t10_null_and_text", "((total as null) as string) + status", "'null' || o_orderstatus")
+_order("t12_big_endian", "((status + '0') as bytes) as int", "CAST(ascii(o_orderstatus) * 256 + 48 AS BIGINT)")
+_fold("t14_word_operator", "total beyond 100000.0", "any_value(l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000.0))", operators={"beyond": lambda l, r: Val("bool", l.col > r.col)})
+_order("x1_user_function", "half(orderkey)", "o_orderkey // 2", functions={"half": lambda low, x: low.over(x, lambda v: low.kernels.binary("/", v, literal(2)))})
+_order("a7_range_of_values", "range(1, custkey) as string", "'1..' || o_custkey")
+_fold("a10_all", "all(line.*.disc < 0.1)", "bool_and(l_discount < 0.1)")
+_fold("g1_nothing_is_null", "select(line.*.n, 3)", "max(l_linenumber) FILTER (place = 3)", on_error="null")
+_order("g1_keys_of_scalar_is_null", "typeof keys(total) + status", "'null' || o_orderstatus", on_error="null")
+
 
 def any_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = Session().filter(d.orders(spark, sf_dir), "doc", "total > 100000.0 and any(line.*.flag == 'R')")
@@ -149,3 +187,39 @@ QUERIES["f7_any_filter"] = any_filter
 ORACLES["f7_any_filter"] = "SELECT o_orderkey AS root_id FROM orders WHERE o_totalprice > 100000.0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
 QUERIES["f8_auto_wildcard"] = auto_wildcard
 ORACLES["f8_auto_wildcard"] = "SELECT CAST(n_regionkey AS BIGINT) AS root_id, bool_or(c_mktsegment = 'BUILDING') AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey"
+
+
+def _order_text(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Session().query(d.order_heads(spark, sf_dir), "doc", query, ["root_id"]).select("root_id", "text")
+
+    return run
+
+
+def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects built from columns, one extended by the other; a field of both keeps its first value."""
+    docs = d.order_heads(spark, sf_dir)
+    both = docs.select("root_id", new_object(key=F.col("doc.orderkey"), at=F.col("doc.status")).alias("doc"), new_object(at=F.lit("x"), by=F.col("doc.custkey")).alias("more"))
+    return Session().values(extend(both, "doc", "more"), "doc", "at + '/' + (by as string)", ["root_id"]).select("root_id", "value")
+
+
+def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.events(spark, sf_dir).select("root_id", d.encoded(F.col("doc.props")).alias("text"))
+
+
+def field_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return size_statistics(d.order_heads(spark, sf_dir), "doc").where("field IN ('orderkey', 'custkey', 'status', 'priority')")
+
+
+QUERIES["t13_bytes_text"] = _order_text("(status + '\\n') as bytes")
+ORACLES["t13_bytes_text"] = "SELECT o_orderkey AS root_id, 'b\"' || o_orderstatus || '\\n\"' AS text FROM orders"
+QUERIES["t13_bytes_text_hex"] = _order_text("((orderkey & 15) | 16) as bytes")
+ORACLES["t13_bytes_text_hex"] = "SELECT o_orderkey AS root_id, 'b\"' || repeat('\\x00', 7) || printf('\\x%02X', (o_orderkey & 15) | 16) || '\"' AS text FROM orders"
+QUERIES["io13_text"] = _order_text("total")
+ORACLES["io13_text"] = "SELECT o_orderkey AS root_id, printf('%.6f', o_totalprice) AS text FROM orders"
+QUERIES["io4_json"] = event_texts
+ORACLES["io4_json"] = "SELECT event_id AS root_id, CAST(json(props) AS VARCHAR) AS text FROM events"
+QUERIES["io7_io8_extend"] = extended
+ORACLES["io7_io8_extend"] = "SELECT o_orderkey AS root_id, o_orderstatus || '/' || o_custkey AS value FROM orders"
+QUERIES["io11_sizes"] = field_sizes
+ORACLES["io11_sizes"] = "SELECT field, count(*) AS \"values\", CAST(sum(strlen(t)) AS BIGINT) AS bytes FROM (SELECT unnest(['orderkey', 'custkey', 'status', 'priority']) AS field, unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), '\"' || o_orderstatus || '\"', '\"' || o_orderpriority || '\"']) AS t FROM orders) GROUP BY field"
