@@ -230,6 +230,15 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_conversations(rows.limit(0))).count() == 0
 
 
+def test_chat_loss_is_read_by_the_mask(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "\u00e9<q\\"), (1, 1, "assistant", "a\U0001f600<"), (1, 2, "assistant", ""), (1, 3, "assistant", "\\l"), (1, 4, "user", "z")], "conv_id long, turn long, role string, text string")
+    loss = lambda f: chat.read_back(f).first()["loss_text"]
+    formatted = chat.format_conversations(rows)
+    assert loss(formatted) == "a\U0001f600<\\l"
+    assert loss(chat.format_conversations(rows, loss_roles=("user",))) == "\u00e9<q\\z"
+    assert loss(formatted.withColumn("mask", F.transform("mask", lambda r: r.withField("loss", F.lit(False))))) == ""
+
+
 def test_urls(spark):
     pages, labels = [], []
     for i in range(200):

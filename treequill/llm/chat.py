@@ -7,7 +7,7 @@ One output string for each conversation.  A run of turns of one role becomes one
 Inside roles and texts a backslash is written ``\\b`` and ``<`` is written ``\\l`` (in roles also a
 newline as ``\\n``), so that no control string can occur in them and reading back is exact.  The loss
 mask covers the texts of blocks whose role is in ``loss_roles``; ``mask`` holds it as runs
-(chars, loss) over the formatted string.
+(chars, loss, bytes of UTF-8) over the formatted string.  What is read back as text under loss is cut out by it.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         ).alias("blocks"),
     )
     loss = lambda b: b["role"].isin(*loss_roles)
-    run = lambda n, on: F.struct(n.cast("long").alias("chars"), on.alias("loss"))
+    run = lambda c, on: F.struct(F.length(c).cast("long").alias("chars"), on.alias("loss"), F.octet_length(c).cast("long").alias("bytes"))
     return blocks.select(
         "conv_id",
         F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(OPEN), _escape_role(b["role"]), F.lit("\n"), F.array_join(b["texts"], BETWEEN), F.lit(CLOSE))), "").alias("formatted"),
@@ -68,17 +68,31 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
             F.transform(
                 "blocks",
                 lambda b: F.concat(
-                    F.array(run(F.length(_escape_role(b["role"])) + len(OPEN) + 1, F.lit(False))),
-                    F.flatten(F.transform(b["texts"], lambda t, i: F.array(run(F.when(i == 0, 0).otherwise(len(BETWEEN)), F.lit(False)), run(F.length(t), loss(b))))),
-                    F.array(run(F.lit(len(CLOSE)), F.lit(False))),
+                    F.array(run(F.concat(F.lit(OPEN), _escape_role(b["role"]), F.lit("\n")), F.lit(False))),
+                    F.flatten(F.transform(b["texts"], lambda t, i: F.array(run(F.when(i == 0, "").otherwise(BETWEEN), F.lit(False)), run(t, loss(b))))),
+                    F.array(run(F.lit(CLOSE), F.lit(False))),
                 ),
             )
         ).alias("mask"),
     )
 
 
-def read_back(formatted: DataFrame, loss_roles=LOSS_ROLES) -> DataFrame:
-    """(conv_id, turns array<struct<role,text>>, loss_text, formatted_chars), parsed from the formatted string alone."""
+def _under_loss(formatted: Column, mask: Column) -> Column:
+    """What the mask puts under loss, as it stands in the formatted string; cut by bytes, which need no search for a place."""
+    data = formatted.cast("binary")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<binary>").alias("cut"))
+    step = lambda s, r: F.struct(
+        (s["at"] + r["bytes"]).alias("at"),
+        F.when(r["loss"], F.concat(s["cut"], F.array(F.substr(data, (s["at"] + 1).cast("int"), r["bytes"].cast("int"))))).otherwise(s["cut"]).alias("cut"),
+    )
+    return F.aggregate(mask, start, step, lambda s: F.array_join(F.transform(s["cut"], lambda c: c.cast("string")), ""))
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """(conv_id, turns array<struct<role,text>>, loss_text, formatted_chars), parsed from the formatted string.
+
+    loss_text is the text under the mask, unescaped.
+    """
     parts = F.filter(F.split("formatted", CLOSE, -1), lambda p: p != "")
     parsed = formatted.select(
         "conv_id",
@@ -90,12 +104,13 @@ def read_back(formatted: DataFrame, loss_roles=LOSS_ROLES) -> DataFrame:
                 F.transform(F.split(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2), BETWEEN, -1), _unescape).alias("texts"),
             ),
         ).alias("blocks"),
+        _unescape(_under_loss(F.col("formatted"), F.col("mask"))).alias("loss_text"),
     )
     return parsed.select(
         "conv_id",
         "formatted_chars",
         F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), t.alias("text"))))).alias("turns"),
-        F.array_join(F.flatten(F.transform(F.filter("blocks", lambda b: b["role"].isin(*loss_roles)), lambda b: b["texts"])), "").alias("loss_text"),
+        "loss_text",
     )
 
 
