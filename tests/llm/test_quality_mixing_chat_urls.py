@@ -117,6 +117,34 @@ def test_model_counts_every_trusted_document_of_its_fold(spark, monkeypatch):
     assert fold > 12_000 and seen == [2 * fold]  # a start and an end for each text of one word
 
 
+def test_packed_numbers_come_back_and_take_little_room():
+    rng = np.random.default_rng(4)
+    for width, values in ((4, [0, 0, 0]), (4, [1]), (4, [2**32 - 1, 0, 7]), (6, [2**48 - 1, 2**40, 0, 3]), (4, []), (4, rng.integers(0, 3000, 5000)), (4, [5] * 70_000)):
+        values = np.array(values, dtype=np.int64)
+        assert quality._unsqueeze(quality._squeeze(values, width), width).tolist() == values.tolist()
+    floats = np.concatenate([rng.normal(size=1000), [0, -0.0, 1e-40, np.inf, -np.inf]]).astype(np.float32)
+    assert quality._unsqueeze_floats(quality._squeeze_floats(floats)).tobytes() == floats.tobytes()
+    keys = np.unique(rng.integers(0, 2**48 // 30, 20_000, dtype=np.uint64))
+    assert np.cumsum(quality._unsqueeze(quality._steps(keys), 6)).tolist() == keys.tolist()
+    least = len(keys) * (math.log2(2**48 / 30 / len(keys)) + math.log2(math.e)) / 8  # what any code of such steps takes
+    assert len(quality._steps(keys)) < 1.02 * least
+
+
+def test_training_leaves_only_the_model_and_packing_begins_without_old_shuffles(spark, monkeypatch):
+    from treequill.llm import _cluster
+
+    steps = []
+    for name in ("_known", "release", "_packed"):
+        monkeypatch.setattr(quality, name, lambda *a, f=getattr(quality, name), name=name: (f(*a), steps.append(name))[0])
+    _cluster.ship(spark)
+    before = len(_cluster._written)
+    model = quality.train(spark.createDataFrame([("a b c a b",), ("b c",)], "text string"))
+    assert [x[1] for x in _cluster._written[before:]] == [model.table._treequill_path]
+    steps.clear()
+    assert quality.perplexities(spark.createDataFrame([(0, None, 0, "a b")], ROWS), model).count() == 1
+    assert steps == ["_known", "release", "_packed"]
+
+
 def test_classifier_of_no_documents(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == 0

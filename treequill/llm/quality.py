@@ -102,8 +102,8 @@ def _discount(c, d: tuple[float, float, float]):
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def kneser_ney(bigrams: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(key, weight, w) of the model of written ``bigrams`` (v, w, n), and its constants, as in Model.
+def kneser_ney(bigrams: DataFrame) -> tuple[DataFrame, dict[str, float], list[DataFrame]]:
+    """(key, weight, w) of the model of written ``bigrams`` (v, w, n), its constants, as in Model, and the written tables that its rows need.
 
     w is null in rows of words and contexts.
     """
@@ -123,12 +123,49 @@ def kneser_ney(bigrams: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     unknown = math.log(floor)
     words = low.select(F.col("w").alias("key"), (F.col("low") - unknown).alias("weight")).union(context.select(F.col("v").alias("key"), F.col("back").alias("weight"))).groupBy("key").agg(F.sum("weight").alias("weight"))
     ends = {r["key"]: r["weight"] for r in words.where(F.col("key").isin(int(BOS), int(EOS))).collect()}
-    return words.select("key", "weight", F.lit(None).cast("long").alias("w")).union(pairs.select(F.col("v").alias("key"), "weight", "w")), {"unknown": unknown, "edge": ends.get(int(BOS), 0.0) + ends.get(int(EOS), 0.0)}
+    return words.select("key", "weight", F.lit(None).cast("long").alias("w")).union(pairs.select(F.col("v").alias("key"), "weight", "w")), {"unknown": unknown, "edge": ends.get(int(BOS), 0.0) + ends.get(int(EOS), 0.0)}, [after, context]
+
+
+def _squeeze(values: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned numbers of ``width`` bytes, byte by byte of all of them.
+
+    Each of the bytes has a code of its own, since random ones would spoil that of small ones; it is left out
+    where it is 0 in all numbers, and kept as it is where the code is no shorter.
+    """
+    import zstandard
+
+    code, out = zstandard.ZstdCompressor(level=1), []
+    for k in range(width):
+        plane = (values >> values.dtype.type(8 * k)).astype(np.uint8)
+        short = code.compress(plane) if plane.any() else b""
+        out.append(short if len(short) < len(plane) else plane.tobytes())
+    return np.array([len(values), *map(len, out)], dtype="<u4").tobytes() + b"".join(out)
+
+
+def _unsqueeze(data: bytes, width: int = 4) -> np.ndarray:
+    import zstandard
+
+    n, *sizes = np.frombuffer(data, dtype="<u4", count=width + 1).tolist()
+    out, at = np.zeros((n, 8), dtype=np.uint8), 4 * (width + 1)
+    for k, size in enumerate(sizes):
+        if size:
+            plane = data[at : at + size]
+            out[:, k] = np.frombuffer(plane if size == n else zstandard.ZstdDecompressor().decompress(plane), dtype=np.uint8)
+        at += size
+    return out.view("<i8").ravel()
+
+
+def _squeeze_floats(values: np.ndarray) -> bytes:
+    return _squeeze(values.astype(np.float32).view(np.uint32))
+
+
+def _unsqueeze_floats(data: bytes) -> np.ndarray:
+    return _unsqueeze(data).astype(np.uint32).view(np.float32)
 
 
 def _steps(keys: np.ndarray) -> bytes:
     """Rising keys, as the steps between them."""
-    return _text.squeeze(np.diff(keys, prepend=keys.dtype.type(0)), KEY_BITS // 8)
+    return _squeeze(np.diff(keys, prepend=keys.dtype.type(0)), KEY_BITS // 8)
 
 
 def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
@@ -150,7 +187,7 @@ def _keyed(model: DataFrame, shards: int) -> DataFrame:
     def pack(key, table):
         keys = table.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
-        weights = table.column("weight").to_numpy()[order].tobytes()
+        weights = _squeeze_floats(table.column("weight").to_numpy()[order])
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "keys": pa.array([_steps(keys[order])], pa.binary()), "weights": pa.array([weights], pa.binary())})
 
     return model.mapInArrow(key, "shard int, key long, weight float").groupBy("shard").applyInArrow(pack, "shard int, size long, keys binary, weights binary")
@@ -163,7 +200,7 @@ def _known(model: Model, bits: int) -> bytes:
     def spots(batches: Iterator) -> Iterator:
         for batch in batches:
             for keys in batch.column(0).to_pylist():
-                k = np.cumsum(_text.unsqueeze(keys, KEY_BITS // 8))
+                k = np.cumsum(_unsqueeze(keys, KEY_BITS // 8))
                 for s in range(0, len(k), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[s : s + (1 << 16)] for x in (k & (bits - 1), k >> (KEY_BITS - bits.bit_length() + 1))]))], names=["spot"])
 
@@ -220,7 +257,7 @@ def _packed(docs: DataFrame, shards: int, known, bits_: int) -> DataFrame:
                     if a == b and s != home:
                         continue
                     i, j = ends[a], ends[b]
-                    values = (s, piece, _steps(keys[a:b]), _text.squeeze(np.diff(ends[a : b + 1])), _text.squeeze(gaps[i:j]), _text.squeeze(times[i:j]), s == home)
+                    values = (s, piece, _steps(keys[a:b]), _squeeze(np.diff(ends[a : b + 1])), _squeeze(gaps[i:j]), _squeeze(times[i:j]), s == home)
                     for column, x in zip(rows, values):
                         column.append(x)
                 piece += 1
@@ -236,12 +273,12 @@ def _join_shard(key, packed, model):
     """Sums of weights by document, piece by piece, of the n-grams in one shard."""
     import pyarrow as pa
 
-    known = [(np.cumsum(_text.unsqueeze(k, KEY_BITS // 8)), np.frombuffer(w, dtype=np.float32)) for k, w in zip(model.column("keys").to_pylist(), model.column("weights").to_pylist())]
+    known = [(np.cumsum(_unsqueeze(k, KEY_BITS // 8)), _unsqueeze_floats(w)) for k, w in zip(model.column("keys").to_pylist(), model.column("weights").to_pylist())]
     full, weight = known[0] if known else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
     docs, sums = [], []
     for row in range(packed.num_rows):
         keys, sizes, gaps, times = (packed.column(c)[row].as_py() for c in ("keys", "sizes", "gaps", "times"))
-        asked, sizes, gaps = np.cumsum(_text.unsqueeze(keys, KEY_BITS // 8)), _text.unsqueeze(sizes), _text.unsqueeze(gaps)
+        asked, sizes, gaps = np.cumsum(_unsqueeze(keys, KEY_BITS // 8)), _unsqueeze(sizes), _unsqueeze(gaps)
         value = np.zeros(len(asked))
         if len(full) and len(asked):
             at = np.minimum(np.searchsorted(full, asked), len(full) - 1)
@@ -249,10 +286,10 @@ def _join_shard(key, packed, model):
         who = np.cumsum(gaps)
         first = np.cumsum(sizes) - sizes
         who -= np.repeat(who[first] - gaps[first], sizes)
-        total = np.bincount(who, weights=np.repeat(value, sizes) * _text.unsqueeze(times))
+        total = np.bincount(who, weights=np.repeat(value, sizes) * _unsqueeze(times))
         some = np.flatnonzero(total)
-        docs.append(_text.squeeze(np.diff(some, prepend=0)))
-        sums.append(total[some].astype(np.float32).tobytes())
+        docs.append(_squeeze(np.diff(some, prepend=0)))
+        sums.append(_squeeze_floats(total[some]))
     rest = {c: packed.column(c) for c in ("ids", "langs", "text_keys", "totals")}
     return pa.table({"shard": packed.column("shard"), "piece": packed.column("piece"), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())} | rest)
 
@@ -267,7 +304,7 @@ def _sum_piece(unknown: float, edge: float):
         n = n.to_numpy()
         score = np.zeros(len(n))
         for docs, sums in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist()):
-            score[np.cumsum(_text.unsqueeze(docs))] += np.frombuffer(sums, dtype=np.float32)
+            score[np.cumsum(_unsqueeze(docs))] += _unsqueeze_floats(sums)
         steps = n + 1  # the end is a step too
         log_p = steps * unknown + score + edge
         return pa.table({"doc_id": ids, "lang": langs, "text_key": text_keys, "n_words": pa.array(n), "perplexity": pa.array(np.exp(-log_p / steps), mask=n == 0)})
@@ -282,6 +319,7 @@ def perplexities(rows: DataFrame, model: Model) -> DataFrame:
     """
     bits = bits_for(8 * model.keys)
     known = rows.sparkSession.sparkContext.broadcast(_known(model, bits))
+    release(rows.sparkSession)
     packed = _packed(rows, model.shards, known, bits)
     meta = "ids array<long>, langs array<string>, text_keys array<long>, totals array<long>"
     sums = packed.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(_join_shard, f"shard int, piece long, docs binary, sums binary, {meta}")
@@ -295,10 +333,10 @@ def train(texts: DataFrame, least_shards: int = 1) -> Model:
     bigrams = written(count_bigrams(texts).repartition("v").sortWithinPartitions("v"))
     release(spark)
     n = bigrams.count()
-    rows, constants = kneser_ney(bigrams)
+    rows, constants, parts = kneser_ney(bigrams)
     shards = max(share_of(n, KEYS_PER_SHARD), least_shards)
     table = written(_keyed(rows, shards))
-    discard(bigrams)
+    discard(bigrams, *parts)
     release(spark)
     return Model(table, shards, table.agg(F.sum("size")).first()[0] or 0, **constants)
 
