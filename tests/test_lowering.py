@@ -11,6 +11,7 @@ from treequill.operators.values import Val
 from treequill.operators.values import to_text as column_text
 from treequill.parser import parse
 from treequill.plans.session import Session
+from treequill.sources.documents import decode
 
 from .test_language import GARDEN, RESULTS
 
@@ -96,3 +97,25 @@ def test_overflow_is_an_error_or_null(spark):
     with pytest.raises(Exception, match="overflow|out of range|OVERFLOW"):
         Session().query(df, "doc", "big + 1", []).collect()
     assert [r["text"] for r in Session(on_error="null").query(df, "doc", "big + 1", []).collect()] == ["null"]
+
+
+#: Documents whose values are counted by their schema, or are not: nulls, false, empty ones, tagged bytes, names like types.
+COUNTED = ['{"a": 1, "b": "x", "c": 2.5}', '{"a": null, "b": false, "c": true}', '{"VOID": 1, "_bytes": false, "x": 1.25}', '[{"a": {"_bytes": true, "hex": "00"}}, [], {}, [null, false, [1]]]', '{"l": [{"n": 1, "s": "false"}, {"n": 2.5e300}, 7], "o": {"p": {"q": null}}}', "[]", "{}", "3", "false", "null", '"t"', '{"_bytes": true, "hex": "00ff"}']
+
+
+def test_all_values_are_counted_without_making_them(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(COUNTED)), "i int, text string")
+    df.select("i", F.parse_json("text").alias("doc")).write.parquet(str(tmp_path / "t"))
+    out = Session(max_depth=4).values(spark.read.parquet(str(tmp_path / "t")), "doc", "count(**)", ["i"])
+    assert [str(r["value"]) for r in out.orderBy("i").collect()] == [expected("count(**)", decode(t))[0] for t in COUNTED]
+    assert out._jdf.queryExecution().analyzed().toString().count("struct(k,") < 20  # of the root only
+    typed = df.select("i", F.struct("i", "text", F.array(F.struct(F.lit(False).alias("no"), F.lit("t").alias("t"))).alias("l")).alias("doc"))
+    out = Session().values(typed, "doc", "count(**)", ["i"])
+    assert {r["value"] for r in out.collect()} == {6} and "struct(k," not in out._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("text,match", [('{"a": [[[[1]]]]}', "deeper"), ('{"a": {"b": {"c": {"d": 1}}}}', "deeper"), ('{"a": 1, "b": 12345678901234567890}', "out of range")])
+def test_counting_fails_on_what_it_can_not_count(spark, tmp_path, text, match):
+    spark.createDataFrame([(text,)], "text string").select(F.parse_json("text").alias("doc")).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(Exception, match=match):
+        Session(max_depth=3).values(spark.read.parquet(str(tmp_path / "t")), "doc", "count(**)", []).collect()

@@ -37,6 +37,9 @@ def count(low: Lowering, args, ctx) -> Stream:
     need(args, 1, None, "count")
     total = F.lit(0).cast("bigint")
     for arg in args:
+        if isinstance(arg, a.Wildcard) and low.hooks is None and ctx.value.kind in ("object", "array", "dyn"):
+            total = total + low.tally(ctx.value)
+            continue
         s = low.lower(arg, ctx)
         total = total + (F.when(v.truthy(s), 1).otherwise(0) if isinstance(s, Val) else F.size(low.where(s, v.truthy).col))
     return Val("int", total.cast("bigint"))

@@ -221,6 +221,28 @@ class Lowering:
             rest = F.flatten(F.transform(below, lambda c: self.descend_variant(c, f, depth + 1).col))  # type: ignore[union-attr]
         return self.only_if(x.isNotNull() & ~F.is_variant_null(x), Many(here.kind, F.concat(here.col, rest), here.typ))
 
+    def tally(self, x: Val, depth: int = 0) -> Column:
+        """How many true values x and all below it are; as descend(), without making them."""
+        if x.kind == "object":
+            here, below = F.lit(1), [self.tally(v.val_of(x.col.getField(c.name), c.dataType), depth + 1) for c in x.typ.fields]  # type: ignore[union-attr]
+            return F.when(x.col.isNotNull(), sum(below, here)).otherwise(0)
+        if x.kind == "array":
+            element = x.typ.elementType  # type: ignore[union-attr]
+            one = (lambda c: self.tally_variant(c, depth + 1)) if isinstance(element, T.VariantType) else (lambda c: self.tally(v.val_of(c, element), depth + 1))
+            below = F.aggregate(x.col, F.lit(0), lambda n, c: n + one(c))
+            return F.when(x.col.isNotNull(), 1 + below).otherwise(0)
+        if x.kind == "dyn":
+            return v.let(x.col["v"] if depth == 0 else v.to_variant(x), lambda c: self.tally_variant(c, depth))
+        return F.when(v.truthy(x), 1).otherwise(0)
+
+    def tally_variant(self, x: Column, depth: int) -> Column:
+        return v.tally_variant(x, lambda items: self._tally_all(items, depth + 1), depth < self.max_depth)
+
+    def _tally_all(self, items: Column, depth: int) -> Column:
+        if depth > self.max_depth:
+            return F.when(F.size(items) > 0, F.raise_error(F.lit(f"Document deeper than {self.max_depth}")).cast("int")).otherwise(0)
+        return F.aggregate(items, F.lit(0), lambda n, c: n + self.tally_variant(c, depth))
+
     def index(self, left: Stream, index: Stream, node: a.Node) -> Stream:
         constant = node.value if isinstance(node, a.Const) else None
 

@@ -21,6 +21,8 @@ NAMES = ("null", "bool", "int", "float", "string", "bytes", "model", "model", "i
 SQL = {"bool": "boolean", "int": "bigint", "float": "double", "string": "string", "bytes": "binary", "irange": "struct<begin:bigint,end:bigint>", "re": "string", "null": "string"}
 DYN = "struct<k:int,b:boolean,i:bigint,j:bigint,f:double,s:string,y:binary,v:variant>"
 _SLOT = {"bool": "b", "int": "i", "float": "f", "string": "s", "bytes": "y", "object": "v", "array": "v"}
+#: Casts that show whether a VARIANT is an object, or an array, without making variants of what is in it.
+_OBJECT, _ARRAY = "struct<_bytes:boolean>", "array<array<boolean>>"
 _TYPES = {"b": "boolean", "i": "bigint", "j": "bigint", "f": "double", "s": "string", "y": "binary", "v": "variant"}
 
 
@@ -120,6 +122,16 @@ def many_of(c: Column, t: T.DataType) -> Many:
     return Many(kind, c.cast(f"array<{SQL[kind]}>"))
 
 
+def _tagged(x: Column) -> Column:
+    """Whether a VARIANT is tagged bytes; a path to a field that is not there takes longer than this cast."""
+    return F.coalesce(F.try_variant_get(x, "$", _OBJECT)["_bytes"], F.lit(False))
+
+
+def _too_long(t: Column) -> Column:
+    """Whether the schema of a VARIANT is that of an integer that does not fit in 64 bits."""
+    return t.startswith("DECIMAL") & t.rlike(r"^DECIMAL\((19|[23]\d),0\)")
+
+
 def from_variant(v: Column) -> Column:
     """The tagged value of a VARIANT; JSON null and SQL NULL are NULL, {"_bytes":true,"hex":..} is bytes."""
 
@@ -130,8 +142,9 @@ def from_variant(v: Column) -> Column:
                 F.when(t == "STRING", dyn("string", s=get("string")))
                 .when(t == "BIGINT", dyn("int", i=get("bigint")))
                 .when(t == "BOOLEAN", dyn("bool", b=get("boolean")))
-                .when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)"), F.raise_error(F.lit("Integer out of range")).cast(DYN))
-                .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), dyn("float", f=get("double")))
+                .when(t == "DOUBLE", dyn("float", f=get("double")))
+                .when(_too_long(t), F.raise_error(F.lit("Integer out of range")).cast(DYN))
+                .when(t.startswith("DECIMAL") | (t == "FLOAT"), dyn("float", f=get("double")))
                 .when(t == "BINARY", dyn("bytes", y=get("binary")))
                 .otherwise(dyn("string", s=get("string")))
             )
@@ -139,14 +152,13 @@ def from_variant(v: Column) -> Column:
         return let(F.schema_of_variant(x), of)
 
     def model(x: Column) -> Column:
-        tagged = F.try_variant_get(x, "$._bytes", "boolean")
-        return F.when(F.coalesce(tagged, F.lit(False)), dyn("bytes", y=F.unhex(F.try_variant_get(x, "$.hex", "string")))).otherwise(dyn("object", v=x))
+        return F.when(_tagged(x), dyn("bytes", y=F.unhex(F.try_variant_get(x, "$.hex", "string")))).otherwise(dyn("object", v=x))
 
     def of(x: Column) -> Column:
         return (
             F.when(x.isNull() | F.is_variant_null(x), no_dyn())
-            .when(F.try_variant_get(x, "$", "map<string,variant>").isNotNull(), model(x))
-            .when(F.try_variant_get(x, "$", "array<variant>").isNotNull(), dyn("array", v=x))
+            .when(F.try_variant_get(x, "$", _OBJECT).isNotNull(), model(x))
+            .when(F.try_variant_get(x, "$", _ARRAY).isNotNull(), dyn("array", v=x))
             .otherwise(scalar(x))
         )
 
@@ -234,11 +246,33 @@ def children(v: Val) -> Many | None:
     return None
 
 
+def tally_variant(x: Column, below: Callable[[Column], Column], may_hold: bool) -> Column:
+    """How many true values a VARIANT and all below it are; below counts in an array of its children, which fails where it may hold none.
+
+    The schema tells the kind, and that an object has nothing but scalars that are true: those are not made.
+    """
+
+    def of(t: Column) -> Column:
+        other = t.contains("ARRAY<") | (F.locate("OBJECT<", t, 2) > 0)
+        for word in ("VOID", "BOOLEAN", "DECIMAL", "VARIANT", "_bytes"):  # in names, too: then the children are looked at
+            other = other | t.contains(word)
+        return (
+            F.when(t.isin("STRING", "BIGINT", "DOUBLE"), 1)
+            .when(t.startswith("OBJECT<") & ~other if may_hold else F.lit(False), 1 + F.size(F.try_variant_get(x, "$", f"map<string,{_ARRAY}>")))
+            .when(t.startswith("OBJECT<") | t.startswith("ARRAY<"), 1 + below(variant_children(x)))
+            .when(t.isNull() | (t == "VOID"), 0)
+            .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int"))
+            .when(_too_long(t), F.raise_error(F.lit("Integer out of range")).cast("int"))
+            .otherwise(1)
+        )
+
+    return let(F.schema_of_variant(x), of)
+
+
 def variant_children(x: Column) -> Column:
     """Direct children of a VARIANT, as VARIANTs; none of scalars and tagged bytes."""
-    tagged = F.coalesce(F.try_variant_get(x, "$._bytes", "boolean"), F.lit(False))
     items = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.map_values(F.try_variant_get(x, "$", "map<string,variant>")), F.array().cast("array<variant>"))
-    return F.when(tagged, F.array().cast("array<variant>")).otherwise(items)
+    return F.when(_tagged(x), F.array().cast("array<variant>")).otherwise(items)
 
 
 def empty(m: Many) -> Column:
