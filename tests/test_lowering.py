@@ -119,3 +119,10 @@ def test_counting_fails_on_what_it_can_not_count(spark, tmp_path, text, match):
     spark.createDataFrame([(text,)], "text string").select(F.parse_json("text").alias("doc")).write.parquet(str(tmp_path / "t"))
     with pytest.raises(Exception, match=match):
         Session(max_depth=3).values(spark.read.parquet(str(tmp_path / "t")), "doc", "count(**)", []).collect()
+
+
+def test_a_value_on_the_way_is_made_once(spark):
+    df = spark.createDataFrame([('{"a": [{"b": 2}, {"b": 3}], "c": 1}',)], "text string").select(F.parse_json("text").alias("doc"))
+    out = Session(max_depth=4).values(df, "doc", "sum(a.*.(b * b))", [])
+    assert [str(r["value"]) for r in out.collect()] == ["13"]
+    assert out._jdf.queryExecution().analyzed().toString().count('$["a"]') == 1

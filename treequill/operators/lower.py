@@ -158,6 +158,18 @@ class Lowering:
         l = self.lower(left, ctx)
         if l.kind == "null":
             return v.null()
+        if isinstance(l, Val) and l.kind == "dyn" and not isinstance(right, a.Field):  # l made once
+            shape: list[Stream] = []
+
+            def once(c: Column) -> Column:
+                r = step(Val("dyn", c))
+                shape.append(r)
+                if isinstance(r, Val):
+                    return r.col if r.kind == "null" or isinstance(left, a.Self) else F.when(c.isNotNull(), r.col)
+                return self.or_null(self.only_if(c.isNotNull(), self.not_null(r))).col
+
+            col = v.let(l.col, once)
+            return type(shape[0])(shape[0].kind, col, shape[0].typ)
         if isinstance(l, Val):
             r = step(l)
             if isinstance(r, Val):
